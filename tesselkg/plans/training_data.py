@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselkg.functions.ids import canonical_id, short_predicate
-from tesselkg.operators import eager_join, orphans, wide
+from tesselkg.operators import eager_join, orphans, packed, wide
 from tesselkg.session import table
 
 RELATION_FIELDS = ("relation_type", "head_entity_id", "tail_entity_id")
@@ -71,6 +71,33 @@ def p5_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eager_join.path_counts(table(spark, sf_dir, "relations"), F.col("head_entity_id"), F.col("tail_entity_id"), "relation_type")
 
 
+# --- problem 6: several values packed in one field
+
+
+def _packed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, results = table(spark, sf_dir, "entities"), table(spark, sf_dir, "pipeline_result")
+    aliases = entities.select(F.lit("aliases").alias("field_name"), F.lit("alias").alias("family"), "row_id", F.lit("list").alias("kind"), F.col("aliases").alias("text"))
+
+    def parts(batches):
+        for b in batches:
+            both = [packed.prompt_lists(t) for t in b["user_query"]]
+            for k, (name, kind) in enumerate((("history", "list"), ("options", "options"))):
+                out = b[["result_id"]].rename(columns={"result_id": "row_id"})
+                yield out.assign(field_name=name, family="title", kind=kind, text=[x[k] for x in both])[["field_name", "family", "row_id", "kind", "text"]]
+
+    prompts = results.select("result_id", "user_query").mapInPandas(parts, "field_name string, family string, row_id long, kind string, text string")
+    return aliases.unionByName(prompts)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.split_packed(_packed_fields(spark, sf_dir))
+
+
+def p6_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each title occurs in the histories and options of all stored queries."""
+    return p6_found(spark, sf_dir).where("field_name != 'aliases'").groupBy("field_name", "val").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- problem 7: references to records that do not exist
 
 
@@ -106,6 +133,8 @@ QUERIES = {
     "p5_key_counts": p5_key_counts,
     "p5_join_rollup": p5_join_rollup,
     "p5_path_counts": p5_path_counts,
+    "p6_found": p6_found,
+    "p6_value_counts": p6_value_counts,
     "p7_found": p7_found,
     "p7_report": p7_report,
 }
