@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkg.llm import word_tokens
+from tesselkg.llm import leaks, word_tokens
 from tesselkg.session import table
 
 # --- problem 8: encoding of the whole corpus
@@ -23,5 +23,18 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+# --- problem 9: evaluation texts inside the corpus
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_items_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per held-out split and item, the number of documents that hold wording of it."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "split_name")
+    return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs")).join(items, "item_id").select("split_name", "item_id", "n_docs")
+
+
+QUERIES = {"p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 SQL = {"p8_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same, cast(sum(length(coalesce(text, ''))) AS bigint) AS n_chars FROM documents"}
