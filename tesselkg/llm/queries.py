@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkg.llm import leaks, word_tokens
+from tesselkg.llm import leaks, spam, word_tokens
 from tesselkg.session import table
 
 # --- problem 8: encoding of the whole corpus
@@ -36,5 +36,18 @@ def p9_items_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs")).join(items, "item_id").select("split_name", "item_id", "n_docs")
 
 
-QUERIES = {"p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+# --- problem 10: keyword-stuffed and link-list pages
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.find_spam(table(spark, sf_dir, "documents"))
+
+
+def p10_spam_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spam pages per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return docs.join(p10_found(spark, sf_dir), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_spam"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 SQL = {"p8_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same, cast(sum(length(coalesce(text, ''))) AS bigint) AS n_chars FROM documents"}
