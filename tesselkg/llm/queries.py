@@ -5,9 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkg.llm import leaks, spam, word_tokens
+from tesselkg.llm import leaks, mojibake, spam, word_tokens
 from tesselkg.session import table
 
+# --- problem 3: wrong character decoding
+
+
+def _decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "entities").select(F.lit("entities").alias("tbl"), "row_id", F.col("name").alias("text"))
+    literals = table(spark, sf_dir, "triples").where("obj_type = 'literal'").select(F.lit("triples").alias("tbl"), "row_id", F.col("obj").alias("text"))
+    return names.unionByName(literals)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_garbled(_decoded_texts(spark, sf_dir)).select("tbl", "row_id")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled texts beside their restored form."""
+    return mojibake.find_garbled(_decoded_texts(spark, sf_dir))
+
+
 # --- problem 8: encoding of the whole corpus
 
 
@@ -49,5 +67,5 @@ def p10_spam_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(p10_found(spark, sf_dir), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_spam"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 SQL = {"p8_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same, cast(sum(length(coalesce(text, ''))) AS bigint) AS n_chars FROM documents"}
