@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkg.llm import leaks, mojibake, spam, word_tokens
+from tesselkg.llm import leaks, mojibake, spam, truncation, word_tokens
 from tesselkg.session import table
 
 # --- problem 3: wrong character decoding
@@ -26,6 +26,18 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_garbled(_decoded_texts(spark, sf_dir))
 
 
+# --- problem 4: text cut off by field limits
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, sf_dir, "entities")).select("row_id").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_rates(table(spark, sf_dir, "entities"))
+
+
 # --- problem 8: encoding of the whole corpus
 
 
@@ -67,5 +79,5 @@ def p10_spam_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(p10_found(spark, sf_dir), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_spam"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p3_found": p3_found, "p3_restored": p3_restored, "p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 SQL = {"p8_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same, cast(sum(length(coalesce(text, ''))) AS bigint) AS n_chars FROM documents"}
