@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkg.llm import leaks, mojibake, spam, truncation, word_tokens
+from tesselkg.llm import leaks, mojibake, neighbours, spam, truncation, word_tokens
 from tesselkg.session import table
 
+# --- problem 1: most similar vectors
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector its five most similar vectors among entities of its own type, with rank and similarity."""
+    meta = table(spark, sf_dir, "entity_meta").select("vec_id", F.lower(F.trim("entity_type")).alias("kind")).where("vec_id is not null and kind is not null")
+    meta = meta.groupBy("vec_id").agg(F.min("kind").alias("kind"))
+    index = table(spark, sf_dir, "entity_index").select("vec_id", "embedding").join(meta, "vec_id")
+    out = neighbours.nearest_neighbours(index, kind=F.col("kind"), k=5)
+    return out.select("kind", "id", "other", F.round("sim", 4).alias("sim"), "rank")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = p1_neighbours(spark, sf_dir).select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b"))
+    return pair.distinct()
+
+
 # --- problem 3: wrong character decoding
 
 
@@ -79,5 +96,5 @@ def p10_spam_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(p10_found(spark, sf_dir), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_spam"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p3_found": p3_found, "p3_restored": p3_restored, "p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p3_found": p3_found, "p3_restored": p3_restored, "p10_found": p10_found, "p10_spam_by_source": p10_spam_by_source, "p9_found": p9_found, "p9_items_leaked": p9_items_leaked, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 SQL = {"p8_round_trip": "SELECT count(*) AS n_docs, count(*) AS n_same, cast(sum(length(coalesce(text, ''))) AS bigint) AS n_chars FROM documents"}
