@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,8 @@ def unit(vector: Column) -> Column:
     """The vector as doubles of length one; null for null and zero vectors and for missing values."""
     v = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    once = F.array(F.struct(v.alias("v"), norm.alias("n")))  # the norm is computed once, not once per element
+    return F.when(norm > 0, F.transform(once, lambda s: F.transform(s["v"], lambda x: x / s["n"]))[0])
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -62,9 +66,32 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.col("t.id").alias("id"), (-F.col("t.s")).alias("score"), (F.col("p") + 1).cast("long").alias("rank"))
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
+@F.pandas_udf("array<double>")
+def _bag(texts: pd.Series) -> pd.Series:
+    bucket: dict[str, int] = {}
+    out = []
+    for t in texts:
+        v = None
+        if t is not None:
+            v = np.zeros(DIMENSIONS)
+            for w in WORD.findall(t.lower()):
+                if w not in bucket:
+                    if len(bucket) > 200_000:
+                        bucket.clear()
+                    bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS
+                v[bucket[w]] += 1
+            norm = math.sqrt(float(v @ v))
+            v = v / norm if norm else None
+        out.append(v)
+    return pd.Series(out)
+
+
 def hashed_words(text: Column) -> Column:
-    """The default encoder: a bag of lower-case words, each counted in the bucket of its MD5, as a unit vector of 64 doubles."""
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(DIMENSIONS)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return unit(counts)
+    """The default encoder: a bag of lower-case words, each counted in the bucket of its MD5, as a unit vector of 64 doubles; null without words.
+
+    Any other encoder is a pandas UDF of the same shape.
+    """
+    return _bag(text)
