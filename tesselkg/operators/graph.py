@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,33 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, rounds: int = M
     return nodes.select("grp", "node", "score")
 
 
+def pagerank_of_groups(edges: DataFrame, seeds: DataFrame, *, rounds: int = MOST_ROUNDS, alpha: float = ALPHA, tolerance: float = 1e-6) -> DataFrame:
+    """The same walk for many small graphs: each group (one query's neighbourhood) in one task, without rounds of joins."""
+
+    def walk(pairs: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        names, code = np.unique(np.concatenate([pairs["u"], pairs["v"], start["node"]]).astype(str), return_inverse=True)
+        n, m = len(names), len(pairs)
+        u, v, s = code[:m], code[m : 2 * m], np.unique(code[2 * m :])
+        source, target = np.r_[u, v], np.r_[v, u]
+        degree = np.bincount(source, minlength=n)
+        restart = np.zeros(n)
+        restart[s] = 1 / len(s) if len(s) else 0
+        if not len(s):
+            restart[:] = 1 / n
+        x = np.full(n, 1 / n)
+        for _ in range(rounds):
+            flow = np.bincount(target, x[source] / degree[source], n) if m else np.zeros(n)
+            new = alpha * (flow + x[degree == 0].sum() * restart) + (1 - alpha) * restart
+            change, x = np.abs(new - x).sum(), new
+            if change < n * tolerance:
+                break
+        group = (pairs if m else start)["grp"].iloc[0]
+        return pd.DataFrame({"grp": group, "node": names, "score": x})
+
+    left, right = edges.select("grp", "u", "v"), seeds.select("grp", "node")
+    return left.groupBy("grp").cogroup(right.groupBy("grp")).applyInPandas(walk, "grp string, node string, score double")
+
+
 def _kruskal(edges: pd.DataFrame) -> pd.DataFrame:
     parent: dict[str, str] = {}
 

@@ -204,7 +204,7 @@ def steiner_subtree(spark, d):
 def connected_retrieval(spark, d):
     """Expert 4 over the stated set: importance of the vertices, evidence subgraph, its edges by relevance."""
     edges, seeds = _costed(spark, d)
-    ranks = cut(graph.personalized_pagerank(edges.select("grp", "u", "v"), seeds))
+    ranks = cut(graph.pagerank_of_groups(edges, seeds))
     best = ranks.groupBy("grp").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node"))), 1, 100).alias("b")).select("grp", F.explode("b.node").alias("node"))
     important = best.unionByName(seeds).distinct()
     tree = graph.connected_evidence(edges, important)
