@@ -239,7 +239,7 @@ def find_spam(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                         n_low, n_high = known.of(keys)
                         wanted[d] = keys[(n_low == 1) & (n_high == floor)].view(np.int64)
                 chosen = spam | left
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[chosen], "open": left[chosen], "wanted": [w for w, c in zip(wanted, chosen) if c]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[chosen], "open": left[chosen], "wanted": pd.Series([list(w) for w, c in zip(wanted, chosen) if c], dtype=object)})
 
     judged = pages.mapInPandas(judge, "doc_id long, open boolean, wanted array<long>")
     if exact:  # all counts are within the bound: nothing is left open
