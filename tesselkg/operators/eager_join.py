@@ -53,8 +53,8 @@ def eager_join_aggregate(
     own = [F.col(f"`{c}`").alias(f"l_{c}") for c in left_by]
     states = [F.count(F.lit(1)).alias("ln")]
     for c in sums:
-        states += [F.sum(F.col(f"`{c}`")).alias(f"s_{c}"), F.count(F.col(f"`{c}`")).alias(f"c_{c}")]
-    compact_left = left.select(left_key.alias("k"), *own, *[F.col(f"`{c}`") for c in sums if c not in left_by]).where(F.col("k").isNotNull())
+        states += [F.sum(f"v_{c}").alias(f"s_{c}"), F.count(f"v_{c}").alias(f"c_{c}")]
+    compact_left = left.select(left_key.alias("k"), *own, *[F.col(f"`{c}`").alias(f"v_{c}") for c in sums]).where(F.col("k").isNotNull())
     compact_left = compact_left.groupBy("k", *[f"l_{c}" for c in left_by]).agg(*states)
     compact_right = right.select(right_key.alias("k"), *[F.col(f"`{c}`").alias(f"r_{c}") for c in right_by]).where(F.col("k").isNotNull())
     compact_right = compact_right.groupBy("k", *[f"r_{c}" for c in right_by]).agg(F.count(F.lit(1)).alias("rn"))

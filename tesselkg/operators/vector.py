@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries held by each task at a time.
 QUERY_BLOCK = 4096
@@ -69,7 +70,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 WORD = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _bag(texts: pd.Series) -> pd.Series:
     bucket: dict[str, int] = {}
     out = []

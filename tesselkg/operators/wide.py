@@ -67,7 +67,7 @@ def wide_table(eav: DataFrame, attribute_columns: DataFrame) -> DataFrame:
     """
     attrs = declared_attributes(attribute_columns)
     mapping = attribute_columns.select(F.col("predicate"), "attr", "attr_type").where("predicate is not null").distinct()
-    cells = eav.where("entity_id is not null and text is not null").join(mapping, "predicate")
+    cells = eav.select("entity_id", "predicate", "text", "version").where("entity_id is not null and text is not null").join(mapping, "predicate")
     cells = cells.select("entity_id", "attr", "attr_type", "version", values.literal_text(F.col("text")).alias("t"))  # read from one column, not from its formula
     cells = cells.select("entity_id", "attr", "version", read_as(F.col("attr_type"), F.col("t")).alias("val")).where("val is not null")
     picks = [F.max_by("val", F.when(F.col("attr") == a, F.col("version"))).alias(a) for a, _ in attrs]
