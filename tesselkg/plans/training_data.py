@@ -27,12 +27,17 @@ def all_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = table(spark, sf_dir, "attribute_columns")
-    return wide.typed(wide.wide_table(all_statements(spark, sf_dir), columns), wide.declared_attributes(columns))
+    """One row per entity, cells in canonical text form."""
+    return wide.wide_table(all_statements(spark, sf_dir), table(spark, sf_dir, "attribute_columns"))
+
+
+def p2_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table with the columns' types."""
+    return wide.typed(p2_wide(spark, sf_dir), wide.declared_attributes(table(spark, sf_dir, "attribute_columns")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.unpivot(p2_wide(spark, sf_dir), wide.declared_attributes(table(spark, sf_dir, "attribute_columns")))
+    return wide.unpivot(p2_typed(spark, sf_dir), wide.declared_attributes(table(spark, sf_dir, "attribute_columns")))
 
 
 def p2_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +133,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_wide": p2_wide,
+    "p2_typed": p2_typed,
     "p2_discovered": p2_discovered,
     "p5_found": p5_found,
     "p5_key_counts": p5_key_counts,

@@ -43,13 +43,13 @@ P2_FOUND = f"WITH {STATEMENTS}, {READ} SELECT entity_id, attr, val FROM won"
 
 P2_WIDE = f"""WITH {STATEMENTS}, {READ}
 SELECT entity_id,
-  max(try_cast(val AS bigint)) FILTER (attr = 'budget') AS budget,
+  max(val) FILTER (attr = 'budget') AS budget,
   max(val) FILTER (attr = 'country_name') AS country_name,
-  max(try_cast(val AS bigint)) FILTER (attr = 'gross') AS gross,
-  bool_or(try_cast(val AS boolean)) FILTER (attr = 'in_colour') AS in_colour,
-  max(try_cast(val AS date)) FILTER (attr = 'release_date') AS release_date,
-  max(try_cast(val AS int)) FILTER (attr = 'runtime_min') AS runtime_min,
-  max(try_cast(val AS decimal(3,1))) FILTER (attr = 'score') AS score,
+  max(val) FILTER (attr = 'gross') AS gross,
+  max(val) FILTER (attr = 'in_colour') AS in_colour,
+  max(val) FILTER (attr = 'release_date') AS release_date,
+  max(val) FILTER (attr = 'runtime_min') AS runtime_min,
+  max(val) FILTER (attr = 'score') AS score,
   max(val) FILTER (attr = 'spoken_language') AS spoken_language
 FROM won
 GROUP BY entity_id"""
