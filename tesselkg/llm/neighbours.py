@@ -27,7 +27,7 @@ from tesselkg.session import cut
 #: Vectors a shard should hold, and from how many it is split.
 SHARD, SPLIT = 1500, 6000
 #: Shards each vector joins.
-OVERLAP = 2
+OVERLAP = 3
 #: Vectors the centroids are fitted on, per kind (or crowded shard) at most, and how often crowded shards are divided again.
 SAMPLE, REFINED = 20_000, 3
 #: Out-edges, beam width, relaxation of the pruning, vectors searched at a time.
