@@ -213,7 +213,7 @@ def _fit(placed: DataFrame, cells: dict, target: int, sample: int) -> dict:
     chosen = chosen.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("kind", "cell", "v")
     parts: dict = {}
     for r in chosen.toLocalIterator():
-        parts.setdefault((r["kind"], r["cell"]), []).append(r["v"])
+        parts.setdefault((r["kind"], r["cell"]), []).append(np.asarray(r["v"], np.float32))  # not as Python numbers
     out = {}
     for key, n in cells.items():
         rows = parts.get(key, [])
