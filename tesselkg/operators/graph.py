@@ -163,9 +163,10 @@ def connected_evidence(edges: DataFrame, important: DataFrame) -> DataFrame:
     """The evidence subgraph per group: small graphs whole, graphs with fewer than two important vertices induced on them, else the Steiner subtree.
 
     If no two important vertices are connected, the subgraph induced on them.
+    Important vertices (grp, node) are vertices of the graph, with edges or not.
     """
     ends = edges.select("grp", F.explode(F.array("u", "v")).alias("node")).distinct()
-    size = ends.groupBy("grp").agg(F.count(F.lit(1)).alias("n_nodes"))
+    size = ends.unionByName(important.select("grp", "node")).distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("n_nodes"))
     held = ends.join(important.select("grp", "node").distinct(), ["grp", "node"])
     count = held.groupBy("grp").agg(F.count(F.lit(1)).alias("n_held"))
     kind = cut(size.join(count, "grp", "left").select("grp", F.when(F.col("n_nodes") <= SMALL_GRAPH, "whole").when(F.coalesce("n_held", F.lit(0)) < 2, "induced").otherwise("tree").alias("form")))
