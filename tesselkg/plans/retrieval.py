@@ -66,8 +66,12 @@ def _asked(spark, d) -> DataFrame:
     return rows.select(F.col("result_id").cast("string").alias("query_id"), "user_query", vector.hashed_words(F.col("user_query")).alias("v"))
 
 
+def _nearest_triples(spark, d, queries: DataFrame) -> DataFrame:
+    return vector.nearest(queries, triple_index(spark, d).select("id", "v"), K)
+
+
 def triple_topk(spark, d):
-    return vector.nearest(_asked(spark, d), triple_index(spark, d).select("id", "v"), K)
+    return _nearest_triples(spark, d, _asked(spark, d))
 
 
 def query_encoding(spark, d):
@@ -79,16 +83,21 @@ def _fixed(score: Column) -> Column:
     return F.format_string("%.3f", F.round(score, 3))
 
 
-def triple_retrieval(spark, d):
-    """Expert 2: the retrieved triples as one text per query, and their mean score as confidence."""
+def _triples(spark, d, queries: DataFrame) -> DataFrame:
+    """Expert 2 for each of ``queries`` (query_id, v): the retrieved triples as one text per query, and their mean score as confidence."""
     shown = triple_index(spark, d).select("id", "shown")
-    rows = triple_topk(spark, d).join(shown, "id").withColumn("line", F.concat(F.lit("• "), F.col("shown"), F.lit(" (score: "), _fixed(F.col("score")), F.lit(")")))
+    rows = _nearest_triples(spark, d, queries).join(shown, "id").withColumn("line", F.concat(F.lit("• "), F.col("shown"), F.lit(" (score: "), _fixed(F.col("score")), F.lit(")")))
     return rows.groupBy("query_id").agg(
         F.concat(F.lit("Retrieved factual triples:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")).alias("knowledge"),
         F.round(F.avg("score"), 6).alias("confidence"),
     )
 
 
+def triple_retrieval(spark, d):
+    """Expert 2 for the stated set of stored queries."""
+    return _triples(spark, d, _asked(spark, d))
+
+
 BAG = r"""SELECT {id} AS id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {id})) AS x FROM (
   SELECT {id}, bucket, count(*)::double AS n FROM (SELECT {id}, ('0x' || substr(md5(t), 1, 8))::bigint % 64 AS bucket FROM (SELECT {id}, unnest(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+')) AS t FROM {src}) WHERE t <> '') GROUP BY 1, 2)"""
 TRIPLES = f"trip AS (SELECT relation_id, head_name || ' ' || {VERB.format(c='relation_type')} || ' ' || tail_name AS text, head_name || ' ' || {PHRASE.format(c='relation_type')} || ' ' || tail_name AS shown FROM named)"
@@ -102,21 +111,15 @@ ttop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 # --- expert 3: entities and their two-hop subgraphs
 
 
-def _centres(spark, d) -> DataFrame:
-    known = kgq.entities(spark, d)
-    hits = vector_topk(spark, d).join(known.select(F.col("entity_id").alias("id"), "name", "entity_type"), "id")
-    return hits
-
-
-def subgraph_retrieval(spark, d):
-    """Expert 3 as one text per query: seeds with score and sizes, totals of the merged subgraph, its first relations as sentences."""
-    hits = cut(_centres(spark, d))
+def _subgraphs(spark, d, queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """Expert 3 for each of ``queries`` (query_id, v) over ``entities`` (id, v) as one text per query: seeds with score and sizes, totals of the merged subgraph, its first relations as sentences; the mean score of the seeds as confidence."""
+    hits = cut(vector.nearest(queries, entities, K).join(kgq.entities(spark, d).select(F.col("entity_id").alias("id"), "name", "entity_type"), "id"))
     known = cut(kgq.entities(spark, d).select("entity_id", "name"))
     edges = cut(kg.two_hop(hits.select(F.col("id").alias("centre")), kgq.relations(spark, d), kgq.MOST_NEIGHBOURS))
     sizes = hits.select(F.col("id").alias("centre")).distinct().join(kg.subgraph_sizes(edges, known), "centre", "left").select("centre", F.coalesce("n_entities", F.lit(1)).alias("ne"), F.coalesce("n_relations", F.lit(0)).alias("nr"))
     seeds = hits.join(sizes, F.col("id") == F.col("centre"))
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" ("), "entity_type", F.lit(") [score: "), _fixed(F.col("score")), F.lit(", subgraph: "), F.col("ne").cast("string"), F.lit(" entities, "), F.col("nr").cast("string"), F.lit(" relations]"))
-    top = seeds.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("seeds"), F.count(F.lit(1)).alias("k"))
+    top = seeds.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("seeds"), F.round(F.avg("score"), 6).alias("confidence"))
     all_edges = hits.select("query_id", F.col("id").alias("centre"), "rank").join(edges, "centre")
     merged = kg.merged_relations(all_edges, "query_id", [F.col("rank"), F.col("hop"), F.col("rn"), F.col("rn2")])
     ends = all_edges.select("query_id", F.explode(F.array("head", "tail")).alias("entity_id")).unionByName(hits.select("query_id", F.col("id").alias("entity_id"))).distinct()
@@ -133,7 +136,12 @@ def subgraph_retrieval(spark, d):
         F.concat(F.lit("  Total entities: "), F.coalesce("ne", F.lit(0)).cast("string")), F.concat(F.lit("  Total relations: "), nr.cast("string")), F.lit(""), F.lit("Key relationships:"), "bullets",
         F.when(nr > MOST_RELATIONS, F.concat(F.lit("  ... and "), (nr - MOST_RELATIONS).cast("string"), F.lit(" more relationships"))),
     )
-    return rows.select("query_id", text.alias("knowledge"))
+    return rows.select("query_id", text.alias("knowledge"), "confidence")
+
+
+def subgraph_retrieval(spark, d):
+    """Expert 3 as one text per query of the stated set."""
+    return _subgraphs(spark, d, queries_of(spark, d), index(spark, d).select("id", "v")).select("query_id", "knowledge")
 
 
 MERGED = """hits AS (SELECT t.*, e.name, e.entity_type FROM top t JOIN kge e ON e.entity_id = t.id),
@@ -267,14 +275,26 @@ def expert_descriptors(spark, d):
     return spark.createDataFrame(rows, "expert_id int, expert_name string")
 
 
+def entity_vectors(spark, d) -> DataFrame:
+    """(id, v): every entity, its description encoded like the stored queries; vectors of another model are not comparable."""
+    text = kgq.entity_text(spark, d)
+    return text.select(F.col("entity_id").alias("id"), vector.hashed_words(F.col("text")).alias("v")).where("v is not null")
+
+
 def all_experts_union(spark, d):
-    """Each stored query of the stated set through its own expert (1 direct, 2 triples); others count as direct, documents only where there is knowledge."""
-    asked = table(spark, d, "pipeline_result").where((F.col("result_id") % 100 == 0) & F.col("user_query").isNotNull())
-    asked = asked.select(F.col("result_id").cast("string").alias("query_id"), F.coalesce("selected_retriever_id", F.lit(1)).alias("expert_id"))
-    one = direct_retrieval(spark, d).withColumn("expert", F.lit(1))
-    two = triple_retrieval(spark, d).withColumn("expert", F.lit(2))
-    both = one.unionByName(two).join(asked, "query_id").where(F.col("expert") == F.when(F.col("expert_id") == 2, 2).otherwise(1))
-    return both.select("query_id", "expert_id", (F.length("knowledge") > 0).cast("long").alias("n_documents"), "confidence")
+    """Each stored query of the stated set through its own expert (1 or none: direct, 2 triples, 3 subgraphs, 4 connected graph).
+
+    A document is a text that is not empty. A query without words finds nothing:
+    no document, and no confidence unless it is direct.
+    """
+    routes = table(spark, d, "pipeline_result").select(F.col("result_id").cast("string").alias("query_id"), F.coalesce("selected_retriever_id", F.lit(1)).alias("expert_id"))
+    asked = cut(_asked(spark, d).join(routes, "query_id").select("query_id", "expert_id", "v"))
+    entities = cut(entity_vectors(spark, d))
+    of = lambda expert: asked.where(F.col("expert_id") == expert).select("query_id", "v")
+    found = _triples(spark, d, of(2)).unionByName(_subgraphs(spark, d, of(3), entities)).unionByName(_connected(spark, d, of(4), entities))
+    direct = direct_retrieval(spark, d).join(asked.where("expert_id not in (2, 3, 4)").select("query_id"), "query_id", "left_semi")
+    rows = asked.select("query_id", "expert_id").join(found.unionByName(direct), "query_id", "left")
+    return rows.select("query_id", "expert_id", F.coalesce(F.length("knowledge") > 0, F.lit(False)).cast("long").alias("n_documents"), "confidence")
 
 
 QUERIES = {f.__name__: f for f in (

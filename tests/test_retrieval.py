@@ -37,3 +37,18 @@ def test_connected_retrieval_per_query(spark, tables):
     assert "  Nodes: 7\n  Edges: 4\n" in small
     assert re.findall(r"• (.*)", small) == [f"B0 director B0_{i} [relevance: 0.500]" for i in range(4)]
     assert got["0"]["confidence"] == pytest.approx((1 + 2**-0.5 + 3**-0.5) / 3, abs=1e-5)
+
+
+def test_router_runs_every_expert(spark, tables):
+    query, rows = "a0 b0 movie", [(100, 1), (200, 2), (300, 3), (400, 4), (500, None), (301, 3)]
+    made = spark.createDataFrame([(i, query, e) for i, e in rows] + [(600, "", 3), (700, None, 4)], "result_id long, user_query string, selected_retriever_id int")
+    made.write.parquet(f"{tables}/pipeline_result.parquet")
+    got = {r["query_id"]: (r["expert_id"], r["n_documents"], r["confidence"]) for r in retrieval.all_experts_union(spark, tables).collect()}
+    asked = retrieval._asked(spark, tables).where("query_id = '300'")
+    hits = [r["score"] for r in retrieval.vector.nearest(asked, retrieval.entity_vectors(spark, tables), retrieval.K).collect()]
+    mean = pytest.approx(sum(hits) / 3, abs=1e-5)
+    assert got["100"] == (1, 0, 1.0) and got["500"] == (1, 0, 1.0)
+    assert got["200"][:2] == (2, 1)
+    assert got["300"] == (3, 1, mean) and got["400"] == (4, 1, mean) and mean != 1.0
+    assert got["600"] == (3, 0, None)
+    assert got.keys() == {"100", "200", "300", "400", "500", "600"}
