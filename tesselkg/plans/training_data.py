@@ -62,8 +62,8 @@ def p5_join_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = eager_join.eager_join_aggregate(
         table(spark, sf_dir, "relations"),
         table(spark, sf_dir, "entities"),
-        F.col("tail_entity_id"),
-        F.col("entity_id"),
+        canonical_id(F.col("tail_entity_id")),
+        canonical_id(F.col("entity_id")),
         ["relation_type"],
         ["entity_type"],
         ["confidence"],
@@ -73,7 +73,7 @@ def p5_join_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-step paths through each middle entity per pair of relation types (one tail holds a tenth of the rows)."""
-    return eager_join.path_counts(table(spark, sf_dir, "relations"), F.col("head_entity_id"), F.col("tail_entity_id"), "relation_type")
+    return eager_join.path_counts(table(spark, sf_dir, "relations"), canonical_id(F.col("head_entity_id")), canonical_id(F.col("tail_entity_id")), "relation_type")
 
 
 # --- problem 6: several values packed in one field

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesselkg.functions import values
 from tesselkg.functions.ids import canonical_id, short_predicate
 from tesselkg.operators import eager_join, orphans, packed, wide
+from tesselkg.plans import training_data
 
 T = lambda d: dt.datetime(2023, 1, d, tzinfo=dt.UTC)
 
@@ -103,6 +104,14 @@ def test_eager_join_equals_plain_join(spark):
     assert {tuple(r) for r in got.collect()} == {("x", "x", 2, 1.0, 1), ("x", "z", 2, 1.0, 1), ("y", "x", 1, 3.0, 1), ("y", "z", 2, 5.0, 2)}
 
 
+def test_keys_in_any_spelling(spark, tmp_path):
+    rows = [("x", "<http://kg.example/resource/A>", "B", 0.5), ("y", "http://kg.example/resource/B", " Caf%C3%A9 ", 1.0), ("y", "B", None, 2.0)]
+    spark.createDataFrame(rows, "relation_type string, head_entity_id string, tail_entity_id string, confidence double").write.parquet(f"{tmp_path}/relations.parquet")
+    spark.createDataFrame([("<http://kg.example/resource/B>", "Movie"), ("Café", "Genre")], "entity_id string, entity_type string").write.parquet(f"{tmp_path}/entities.parquet")
+    assert {tuple(r) for r in training_data.p5_join_rollup(spark, str(tmp_path)).collect()} == {("x", "Movie", 1, 0.5, 1), ("y", "Genre", 1, 1.0, 1)}
+    assert {tuple(r) for r in training_data.p5_path_counts(spark, str(tmp_path)).collect()} == {("x", "y", 2)}
+
+
 def test_orphans(spark):
     parents = spark.createDataFrame([("a", T(2), T(5)), ("a", T(2), T(5)), ("a", T(8), None), ("b", T(3), None), (None, T(1), None)], "id string, since timestamp, until timestamp")
     rows = [(1, "head", "a", T(1)), (2, "head", "a", T(2)), (3, "head", "a", T(5)), (4, "head", "a", T(9)), (5, "tail", "zz", T(3)), (6, "tail", None, T(3)), (7, "tail", "b", T(3)), (8, "tail", "b", None)]
