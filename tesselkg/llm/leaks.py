@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 SHINGLE = 3
 #: Least passage in words, and the share of its words that may be changed, dropped or inserted.
 LEAST_WORDS, MOST_CHANGED = 18, 0.2
-#: Hash functions of the sketch of a passage.
-MINIMA = 16
+#: Hash functions of the sketch of a passage. So many keep nearly every shingle: the densest edits leave only 6, of which LEAST_HITS must be kept.
+MINIMA = 64
 #: Items whose sketches are held by each task at a time; more are searched in blocks of so many.
 BLOCK = 20_000
 

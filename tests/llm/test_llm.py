@@ -146,6 +146,21 @@ def test_tokens_round_trip(spark):
 ITEM = "After thirty evenings with Kyvelari Film which documentary or melodrama about a curious tavern would Edvin Gukerélé have inherited from the old harbour town near Wexholm in spring"
 
 
+def test_borderline_passages_reach_the_alignment():
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(40))) for k in range(200)]
+    texts = []
+    for k, text in items:
+        w = text.split()
+        begin = 0 if k % 2 else 10
+        part = w[begin : begin + 20]
+        for place in (3, 7, 11, 15):  # one word in five, evenly spread: 6 of 18 shingles are left
+            part[place] = "changed"
+        texts.append(" ".join([f"x{i}" for i in range(30)] + part + [f"y{i}" for i in range(30)]))
+    found, item = leaks.Sketches(items).found_in(texts)
+    assert {(t, i) for t, i in zip(found, item) if t == i} == {(k, k) for k in range(200)}
+
+
 def test_leaks(spark):
     w = ITEM.split()
     filler = "Some quite different sentence about nothing in particular stands here. " * 5
