@@ -196,19 +196,23 @@ def _costed(spark, d) -> tuple[DataFrame, DataFrame]:
     return cut(edges.join(cost, "relation_type").select("grp", "u", "v", "relation_type", "cost")), seeds
 
 
+def _forest(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning forest of the one large graph, in rounds of joins, and the seeds. Each pair (u, v) has one edge."""
+    edges, seeds = _costed(spark, d)
+    return graph.boruvka(edges).select("u", "v").join(edges, ["u", "v"]).select(edges.columns), seeds
+
+
 def mst_edges(spark, d):
-    return graph.spanning_forests(_costed(spark, d)[0]).select("u", "v", "relation_type", "cost")
+    return _forest(spark, d)[0].select("u", "v", "relation_type", "cost")
 
 
 def mst_weight(spark, d):
     """Edges and total cost of the minimum spanning forest, against its vertices and components."""
-    edges, _ = _costed(spark, d)
-    return graph.spanning_forests(edges).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("cost"), 4).alias("cost"))
+    return _forest(spark, d)[0].agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 def steiner_subtree(spark, d):
-    edges, seeds = _costed(spark, d)
-    return graph.steiner_subtrees(graph.spanning_forests(edges), seeds).select("u", "v", "relation_type", "cost")
+    return graph.steiner_subtrees(*_forest(spark, d)).select("u", "v", "relation_type", "cost")
 
 
 def _connected(spark, d, queries: DataFrame, entities: DataFrame) -> DataFrame:
