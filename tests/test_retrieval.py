@@ -52,16 +52,3 @@ def test_router_runs_every_expert(spark, tables):
     assert got["300"] == (3, 1, mean) and got["400"] == (4, 1, mean) and mean != 1.0
     assert got["600"] == (3, 0, None)
     assert got.keys() == {"100", "200", "300", "400", "500", "600"}
-
-
-def test_large_graph_is_not_one_task(spark, tables, monkeypatch):
-    edges, _ = retrieval._costed(spark, tables)
-    want = {tuple(r) for r in retrieval.graph.spanning_forests(edges).select("u", "v", "relation_type", "cost").collect()}
-
-    def one_task(edges):
-        raise AssertionError("the whole graph in one task")
-
-    monkeypatch.setattr(retrieval.graph, "spanning_forests", one_task)
-    assert {tuple(r) for r in retrieval.mst_edges(spark, tables).collect()} == want != set()
-    assert retrieval.mst_weight(spark, tables).first()["n_edges"] == len(want)
-    assert {tuple(r) for r in retrieval.steiner_subtree(spark, tables).collect()} <= want
