@@ -1,13 +1,14 @@
 """Held-out evaluation texts inside a training corpus.
 
 Short items are searched inside long documents by containment, not by the
-similarity of whole texts. The passages of an item (all windows of the least
-length) are put into partitions by the size of the item; of each passage the
-minima of its word shingles under several hash functions are kept. The share
-of these minima that a region of a document holds estimates how much of the
-passage it contains, whatever the size of the document. Candidates are
-verified by their exact shingles along one diagonal and, in the end, by an
-exact alignment of words.
+similarity of whole texts. Items are partitioned by their size in words; of each
+passage of an item (every window of the least length) a bottom-k MinHash sketch
+of its word shingles is kept. The share of a sketch that a region of a document
+holds estimates how much of the passage it contains, whatever the size of the
+document. Each partition has its own sketch size and least share, derived from
+what the definition of a passage guarantees, so no passage within the
+definition falls below them. Candidates are verified by their exact shingles
+and, in the end, by an exact alignment of words.
 """
 
 from __future__ import annotations
@@ -26,8 +27,14 @@ from pyspark.sql import DataFrame
 SHINGLE = 3
 #: Least passage in words, and the share of its words that may be changed, dropped or inserted.
 LEAST_WORDS, MOST_CHANGED = 18, 0.2
-#: Hash functions of the sketch of a passage. So many keep nearly every shingle: the densest edits leave only 6, of which LEAST_HITS must be kept.
-MINIMA = 64
+#: Shingles of a passage of the least length, and the longest passage that has to be looked at: a longer one falls into two, of which one has no greater share of changes.
+SPAN, LONGEST = LEAST_WORDS - SHINGLE + 1, 2 * LEAST_WORDS
+#: Sketched shingles near one diagonal that make a candidate. The sketch of each size partition is as small as still guarantees so many.
+LEAST_HITS = 4
+#: Words that the longest passage may take in a document, and how far its edits move a diagonal.
+WIDTH, DRIFT = int(LONGEST * (1 + MOST_CHANGED)) + 2, int(LONGEST * MOST_CHANGED)
+#: Odd factor of the sketches' hash.
+FACTOR = np.int64(0x5851F42D4C957F2D)
 #: Items whose sketches are held by each task at a time; more are searched in blocks of so many.
 BLOCK = 20_000
 
@@ -60,8 +67,55 @@ def plain_words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def intact(words: int) -> int:
+    """Shingles that the densest allowed edits leave of a passage of so many words."""
+    return words - SHINGLE + 1 - SHINGLE * int(words * MOST_CHANGED)
+
+
+class SizePartition:
+    """Items between ``least`` and ``most`` words, with the sketch size that is enough for their passages.
+
+    A bottom-k sketch leaves out SPAN - k shingles of each window, so of a passage
+    covered by w windows at most w times as many. ``exact`` is the least number of
+    whole shingles that a passage keeps, ``hits`` the least number of sketched ones.
+    """
+
+    def __init__(self, least: int, most: int) -> None:
+        self.least, self.most = least, most
+        lengths = range(LEAST_WORDS, min(most, LONGEST) + 1)
+        self.exact = min(map(intact, lengths))
+        kept = lambda left_out: min(intact(n) - left_out * -(-(n - SHINGLE + 1) // SPAN) for n in lengths)
+        left_out = max(x for x in range(SPAN) if x == 0 or kept(x) >= LEAST_HITS)
+        self.size, self.hits = SPAN - left_out, kept(left_out)
+        self.code = self.item = self.at = np.zeros(0, np.int64)
+
+    def fill(self, members: list[tuple[int, np.ndarray]]) -> None:
+        """Sketches of the items (number, shingle codes): code -> places in the items, sorted for binary search."""
+        codes, items, places = [], [], []
+        for k, c in members:
+            with np.errstate(over="ignore"):
+                mixed = (c ^ (c >> 17)) * FACTOR
+            windows = np.lib.stride_tricks.sliding_window_view(mixed ^ (mixed >> 29), SPAN)
+            least = np.argsort(windows, axis=1, kind="stable")[:, : self.size] + np.arange(len(windows))[:, None]
+            kept = np.unique(least)
+            codes.append(c[kept])
+            items.append(np.full(len(kept), k))
+            places.append(kept)
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        self.code, self.item, self.at = code[order], np.concatenate(items)[order], np.concatenate(places)[order]
+
+
+def partition_bounds(longest: int) -> list[tuple[int, int]]:
+    """The size partitions up to ``longest`` words: those too short for the densest edits, then by doubling."""
+    cuts = [LEAST_WORDS, 20, 32]
+    while cuts[-1] <= longest:
+        cuts.append(cuts[-1] * 2)
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
 class Sketches:
-    """The sketches of a block of items: shingle code -> places in the items, sorted for binary search."""
+    """The sketches of a block of items, by size partition."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids, self.words, self.vocabulary = [], [], {}
@@ -71,29 +125,14 @@ class Sketches:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
         self.base = len(self.vocabulary) + 1
-        codes, places = [], []
-        classes: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            classes.setdefault(len(w).bit_length(), []).append(k)
-        rng = np.random.default_rng(7)
-        factors = rng.integers(1, 1 << 62, MINIMA, dtype=np.int64) * 2 + 1
-        for members in classes.values():  # partitions by size: items of one power of two in words
-            for k in members:
-                c = self.codes(self.words[k])
-                with np.errstate(over="ignore"):
-                    mixed = (c[:, None] ^ (c[:, None] >> 17)) * factors[None, :]
-                mixed ^= mixed >> 29
-                span = LEAST_WORDS - SHINGLE + 1
-                windows = np.lib.stride_tricks.sliding_window_view(mixed, span, axis=0)
-                least = windows.argmin(axis=2) + np.arange(len(windows))[:, None]
-                kept = np.unique(least)
-                codes.append(c[kept])
-                places.append(np.stack([np.full(len(kept), k), kept]))
-        self.code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        place = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64)
-        self.whole = [np.unique(self.codes(w)) for w in self.words]
-        order = np.argsort(self.code, kind="stable")
-        self.code, self.item, self.at = self.code[order], place[0][order], place[1][order]
+        every = [self.codes(w) for w in self.words]
+        self.whole = [np.unique(c) for c in every]
+        self.partitions = []
+        for least, most in partition_bounds(max(map(len, self.words), default=0)):
+            members = [(k, every[k]) for k, w in enumerate(self.words) if least <= len(w) <= most]
+            if members:
+                self.partitions.append(SizePartition(least, most))
+                self.partitions[-1].fill(members)
 
     def codes(self, w: np.ndarray) -> np.ndarray:
         """One integer per shingle; a word no item has makes it -1."""
@@ -120,64 +159,58 @@ class Sketches:
             flat += plain_words(t)
             flat.append("")  # no shingle spans two texts
             ends.append(len(flat))
-        if not len(self.code) or not flat:
+        if not self.partitions or not flat:
             return [], []
         w = np.fromiter(map(self.vocabulary.get, flat, repeat(0)), np.int64, len(flat))
         c = self.codes(w)
-        at = np.flatnonzero(c >= 0)
-        low = np.searchsorted(self.code, c[at], "left")
-        some = self.code[np.minimum(low, len(self.code) - 1)] == c[at]
-        at, low = at[some], low[some]
-        many = np.searchsorted(self.code, c[at], "right") - low
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        item, i, j = self.item[entry], self.at[entry], np.repeat(at, many)
-        text = np.searchsorted(np.array(ends), j, "right")
-        group = text * len(self.ids) + item
-        order = np.lexsort((i, j, group))
-        group, i, j = group[order], i[order], j[order]
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        last = np.r_[first[1:], len(group)] if len(first) else first
+        known = np.flatnonzero(c >= 0)
         found_text, found_item = [], []
-        for a, b in zip(first, last):
-            if b - a >= LEAST_HITS:
+        for p in self.partitions:
+            low = np.searchsorted(p.code, c[known], "left")
+            some = p.code[np.minimum(low, len(p.code) - 1)] == c[known]
+            at, low = known[some], low[some]
+            many = np.searchsorted(p.code, c[at], "right") - low
+            entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            item, i, j = p.item[entry], p.at[entry], np.repeat(at, many)
+            text = np.searchsorted(np.array(ends), j, "right")
+            group = text * len(self.ids) + item
+            order = np.lexsort((i, j, group))
+            group, i, j = group[order], i[order], j[order]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+            last = np.r_[first[1:], len(group)] if len(first) else first
+            enough = last - first >= p.hits
+            for a, b in zip(first[enough], last[enough]):
                 d, k = divmod(int(group[a]), len(self.ids))
                 begin = ends[d - 1] if d else 0
-                if self._holds(k, i[a:b], j[a:b] - begin, w[begin : ends[d] - 1], c[begin : ends[d] - SHINGLE]):
+                if self._holds(p, k, i[a:b], j[a:b] - begin, w[begin : ends[d] - 1], c[begin : ends[d] - SHINGLE]):
                     found_text.append(d)
                     found_item.append(self.ids[k])
         return found_text, found_item
 
-    def _holds(self, k: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, code: np.ndarray) -> bool:
-        """Regions whose hits lie near one diagonal, their exact shingles, then the exact alignment of the words there."""
-        width = int(LEAST_WORDS * (1 + MOST_CHANGED)) + 2
-        near = np.searchsorted(j, j + width, "right")
+    def _holds(self, p: SizePartition, k: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, code: np.ndarray) -> bool:
+        """Regions that hold enough of a sketch near one diagonal, their exact shingles, then the exact alignment of the words there."""
+        near = np.searchsorted(j, j + WIDTH, "right")
         regions: list[list[int]] = []
         for a in range(len(j)):
             b = near[a]
-            if b - a < LEAST_HITS:
+            if b - a < p.hits:
                 continue
             d = j[a:b] - i[a:b]
             close = np.abs(d - d[0]) <= DRIFT
-            if len(np.unique(i[a:b][close])) < LEAST_HITS:
+            if len(np.unique(i[a:b][close])) < p.hits:
                 continue
             lo, hi = int(j[a]), int(j[a:b][close].max()) + SHINGLE
-            if regions and lo <= regions[-1][1] + width:
+            if regions and lo <= regions[-1][1] + WIDTH:
                 regions[-1][1] = max(hi, regions[-1][1])
             else:
                 regions.append([lo, hi])
         for lo, hi in regions:
-            lo, hi = max(0, lo - width), hi + width
-            if np.count_nonzero(self.exact(k, code[lo:hi])) >= LEAST_EXACT and aligned(self.words[k], w[lo:hi]):
+            lo, hi = max(0, lo - WIDTH), hi + WIDTH
+            if np.count_nonzero(self.exact(k, code[lo:hi])) >= p.exact and aligned(self.words[k], w[lo:hi]):
                 return True
         return False
 
 
-#: Least minima of a passage near one diagonal, and how far edits move a diagonal within a passage.
-LEAST_HITS, DRIFT = 4, 6
-#: Least exact shingles of a region. A passage of 20 words with four changes keeps 6 of its 18; no passage keeps fewer.
-LEAST_EXACT = 6
-
-
 def aligned(item: np.ndarray, region: np.ndarray) -> bool:
     """Whether some passage of at least LEAST_WORDS words of ``item`` is in ``region`` with few enough changes.
 

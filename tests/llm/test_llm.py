@@ -146,19 +146,46 @@ def test_tokens_round_trip(spark):
 ITEM = "After thirty evenings with Kyvelari Film which documentary or melodrama about a curious tavern would Edvin Gukerélé have inherited from the old harbour town near Wexholm in spring"
 
 
-def test_borderline_passages_reach_the_alignment():
-    rng = random.Random(3)
-    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(40))) for k in range(200)]
-    texts = []
-    for k, text in items:
-        w = text.split()
-        begin = 0 if k % 2 else 10
-        part = w[begin : begin + 20]
-        for place in (3, 7, 11, 15):  # one word in five, evenly spread: 6 of 18 shingles are left
-            part[place] = "changed"
-        texts.append(" ".join([f"x{i}" for i in range(30)] + part + [f"y{i}" for i in range(30)]))
-    found, item = leaks.Sketches(items).found_in(texts)
-    assert {(t, i) for t, i in zip(found, item) if t == i} == {(k, k) for k in range(200)}
+def _edited(part, rng, k, kind):
+    """``part`` with ``k`` words changed, dropped or inserted, evenly spread or at random places."""
+    places = [(x + 1) * len(part) // (k + 1) for x in range(k)] if kind in ("spread", "spread drop", "spread insert") else sorted(rng.sample(range(len(part)), k))
+    out = part.copy()
+    for place in reversed(places):
+        if "drop" in kind:
+            del out[place]
+        elif "insert" in kind:
+            out.insert(place, f"new{rng.randrange(99)}")
+        else:
+            out[place] = f"other{rng.randrange(99)}"
+    return out
+
+
+@pytest.mark.parametrize("kind", ["spread", "random", "spread drop", "random drop", "spread insert", "random insert"])
+def test_every_passage_of_the_definition_is_found(kind):
+    """Against the exhaustive alignment of the item with the whole text, without a candidate step: nothing is missed."""
+    rng = random.Random(kind)
+    items, texts = [], []
+    for length in range(18, 41):
+        for k in range(length // 5 + 1):
+            for begin in ("start", "inside", "end"):
+                item = [f"w{rng.randrange(3000)}" for _ in range(length + (0 if length < 20 and begin == "start" else 15))]
+                at = {"start": 0, "inside": rng.randrange(len(item) - length + 1), "end": len(item) - length}[begin]
+                part = _edited(item[at : at + length], rng, k, kind)
+                items.append((len(items), " ".join(item)))
+                texts.append(" ".join([f"x{i}" for i in range(30)] + part + [f"y{i}" for i in range(30)]))
+    sketches = leaks.Sketches(items)
+    found = {t for t, i in zip(*sketches.found_in(texts)) if t == i}
+    words = [np.array([sketches.vocabulary.get(x, 0) for x in t.split()], np.int64) for t in texts]
+    held = {n for n, w in enumerate(words) if leaks.aligned(sketches.words[n], w)}
+    assert held == set(range(len(items)))
+    assert found == held
+
+
+def test_size_partitions():
+    short, long = (leaks.SizePartition(*b) for b in leaks.partition_bounds(31))
+    assert (short.least, short.most, short.exact, short.size, short.hits) == (18, 19, 7, 14, 4)
+    assert (long.least, long.most, long.exact, long.size, long.hits) == (20, 31, 6, 15, 4)
+    assert leaks.partition_bounds(70)[-1] == (64, 127)
 
 
 def test_leaks(spark):
