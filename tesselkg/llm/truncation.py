@@ -7,15 +7,20 @@ at a spike are cut. Elsewhere, and in columns that never end in punctuation,
 the end itself has to show it: its last word stands nowhere else as a whole
 word, or the last words are, over all texts, practically never followed by an
 end of sentence. How often a source breaks words is the prior of that test.
+
+That evidence is asked only for the unfinished ends. A bitmap of fixed size
+tells which runs of words are asked, so the counts over all texts keep only
+those; an exact join follows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +41,15 @@ ELLIPSIS_BELOW, ELLIPSIS_ABOVE = 14, 6
 PUNCTUATED = 0.5
 #: A multi-byte character at a byte limit takes up to three bytes with it.
 BYTES_LOST = 3
-#: A column of running text has so many words on average.
-LEAST_WORDS = 2.5
+#: In a column with fewer words on average, a greatest length may be that of a code or a category: there the texts at it must differ, and other sources must have longer ones.
+RUNNING_WORDS = 2.5
+#: Bits of the bitmap of asked runs of words (16 MB), and words a worker keeps the hashes of.
+BITMAP, MEMORY = 1 << 27, 1_000_000
+#: Rows per (source, column) up to which their table is broadcast, and rows that ask for one run of words from which it is salted.
+MOST_COLUMNS, HOT_ASKED = 100_000, 50_000
+#: Sentence ends among the tokens.
+STOPS = frozenset(".!?。！？…")
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shape_of(text: str) -> str:
@@ -46,17 +58,48 @@ def shape_of(text: str) -> str:
     return "ellipsis" if ELLIPSIS.search(t) else "ended" if ENDED.search(t) else "noted" if NOTED.search(t) else "open"
 
 
-def grams(tokens: list[str], at: int) -> list[str]:
-    """The keys of the words up to place ``at``: the word, two, three, and the two before the last two."""
-    w = tokens[max(0, at - 3) : at + 1]
-    keys = ["1\t" + w[-1]]
-    if len(w) > 1:
-        keys.append("2\t" + "\t".join(w[-2:]))
-    if len(w) > 2:
-        keys.append("3\t" + "\t".join(w[-3:]))
-    if len(w) > 3:
-        keys.append("4\t" + "\t".join(w[:2]))
-    return keys
+class _Hashes(dict):
+    """64-bit hashes of tokens; the lowest bit tells an end of sentence."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > MEMORY:
+            self.clear()
+        value = self[token] = (xxhash.xxh64_intdigest(token) & ~1) | (token[0] in STOPS)
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def _mixed(a: np.ndarray) -> np.ndarray:
+    a = (a ^ (a >> np.uint64(31))) * MULTIPLY
+    return a ^ (a >> np.uint64(29))
+
+
+class Runs:
+    """The tokens of a batch of texts as one array, and the codes of the runs of words that end at given places."""
+
+    def __init__(self, texts: list[str]) -> None:
+        flat: list[str] = []
+        ends = []
+        for t in texts:
+            flat += TOKEN.findall(t)
+            ends.append(len(flat))
+        self.h = np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat))
+        self.stop = (self.h & np.uint64(1)).astype(bool)
+        self.end = np.array(ends, np.int64)
+        self.begin = np.r_[0, self.end[:-1]] if ends else self.end
+
+    def codes(self, at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, there) by kind and place: the word, the last two, the last three, and the two before the last two."""
+        before = lambda k: self.h[np.maximum(at - k, 0)]
+        word = lambda n: np.uint64(n)
+        one = _mixed(before(0) + word(1))
+        two = _mixed(_mixed(before(1) + word(2)) + before(0))
+        three = _mixed(_mixed(_mixed(before(2) + word(3)) + before(1)) + before(0))
+        four = _mixed(_mixed(before(3) + word(4)) + before(2))
+        place = at - begin
+        return np.stack([one, two, three, four]).view(np.int64), np.stack([place >= k for k in range(4)])
 
 
 def text_values(entities: DataFrame, *, row_id: str = "row_id", source: str = "source", attributes: str = "attributes") -> DataFrame:
@@ -79,67 +122,49 @@ def find_cut_values(values: DataFrame) -> DataFrame:
     ``reason`` is 'limit' (at a spike of its source and column), 'ellipsis' (the
     same, with an ellipsis appended) or 'transfer' (its end breaks off). Null
     and blank values are ignored; repeated rows are judged each; an empty input
-    gives no rows. All counts are taken over all values.
+    gives no rows. All counts are taken over all values, of every column.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            shapes, chars, sizes, tails = [], [], [], []
-            for v in b["val"]:
-                shapes.append(shape_of(v))
-                chars.append(len(v))
-                sizes.append(len(v.encode()))
-                tokens = TOKEN.findall(v)
-                tails.append(grams(tokens, len(tokens) - 1) if tokens and shapes[-1] == "open" else [])
-            b["shape"], b["chars"], b["bytes"], b["tail"] = shapes, chars, sizes, tails
+            shapes = [shape_of(v) for v in b["val"]]
+            b["shape"], b["chars"], b["bytes"] = shapes, b["val"].str.len(), [len(v.encode()) for v in b["val"]]
             b["words"] = b["val"].str.count(r"\s+") + 1
+            opened = np.flatnonzero([x == "open" for x in shapes])
+            runs = Runs(b["val"].iloc[opened].tolist())
+            some = runs.end > runs.begin
+            code, there = runs.codes(runs.end[some] - 1, runs.begin[some])
+            tail = np.full(len(b), None, object)
+            tail[opened[some]] = [c[t].tolist() for c, t in zip(code.T, there.T)]
+            b["tail"] = tail
             yield b[["row_id", "source", "col", "val", "shape", "chars", "bytes", "tail", "words"]]
 
-    form = "row_id long, source string, col string, val string, shape string, chars long, bytes long, tail array<string>, words long"
+    form = "row_id long, source string, col string, val string, shape string, chars long, bytes long, tail array<long>, words long"
     seen = cut(values.mapInPandas(read, form))
-    # columns of running text, and those that end in punctuation
-    columns = seen.groupBy("col").agg(
-        F.avg("words").alias("words"), F.avg(F.col("shape").isin("ended", "noted").cast("double")).alias("ends")
-    ).where(F.col("words") >= LEAST_WORDS).select("col", (F.col("ends") >= PUNCTUATED).alias("punctuated"))
-    rows = seen.join(F.broadcast(columns.limit(10_000)), "col")  # one row per column name of the schema
-    lengths = rows.select("source", "col", "punctuated", "shape", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "length"))
-    counted = lengths.groupBy("source", "col", "punctuated", "unit", "length").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("shape") == "open").alias("open"), F.count_if(F.col("shape") == "ellipsis").alias("dots")
-    )
-    own = Window.partitionBy("source", "col", "unit")
-    near = own.orderBy("length").rangeBetween(-AROUND, AROUND)
-    counted = counted.select(
-        "*",
-        ((F.sum("open").over(near) - F.col("open")) / (2.0 * AROUND)).alias("open_near"),
-        F.max("length").over(own).alias("longest"),
-        F.sum("total").over(own).alias("all"),
-        F.sum("dots").over(own).alias("all_dots"),
-        F.sum("dots").over(own.orderBy("length").rangeBetween(-ELLIPSIS_BELOW, ELLIPSIS_ABOVE)).alias("dots_near"),
-        F.max("dots").over(own).alias("most_dots"),
-    )
-    spike = (F.col("open") >= LEAST_SPIKE) & (F.col("open") >= SPIKE_RATIO * F.greatest("open_near", F.lit(0.2)))
-    at_most = (F.col("length") == F.col("longest")) & (F.col("open") >= LEAST_AT_MOST) & (F.col("open") >= SHARE_AT_MOST * F.col("all"))
-    limits = counted.where((F.col("punctuated") & spike) | at_most).groupBy("source", "col", "unit").agg(F.collect_set("length").alias("limits"))
-    limits = limits.groupBy("source", "col").agg(
-        F.flatten(F.collect_list(F.when(F.col("unit") == "chars", F.col("limits")))).alias("char_limits"),
-        F.flatten(F.collect_list(F.when(F.col("unit") == "bytes", F.col("limits")))).alias("byte_limits"),
-    )
-    dotted = counted.where(
-        F.col("punctuated") & (F.col("unit") == "chars") & (F.col("dots") == F.col("most_dots")) & (F.col("dots_near") >= LEAST_SPIKE) & (F.col("dots_near") >= 0.5 * F.col("all_dots"))
-    ).groupBy("source", "col").agg(F.max("length").alias("dots_at"))
+    limits = cut(_limits(seen))
+    if limits.count() <= MOST_COLUMNS:
+        limits = F.broadcast(limits)
+    at = lambda c, unit: F.coalesce(F.array_contains(c, F.col(unit)), F.lit(False))
     rows = cut(
-        rows.join(limits, ["source", "col"], "left").join(dotted, ["source", "col"], "left").select(
+        seen.join(limits, ["source", "col"]).select(
             "row_id", "source", "col", "val", "shape", "tail", "punctuated",
-            F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False)).alias("at_limit"),
+            (at("char_limits", "chars") | at("byte_limits", "bytes")).alias("at_limit"),
             F.coalesce(F.exists("byte_limits", lambda x: (F.col("bytes") < x) & (F.col("bytes") >= x - BYTES_LOST)), F.lit(False)).alias("below_limit"),
             F.coalesce((F.col("chars") >= F.col("dots_at") - ELLIPSIS_BELOW) & (F.col("chars") <= F.col("dots_at") + ELLIPSIS_ABOVE), F.lit(False)).alias("at_dots"),
         )
     )
-    open_rows = rows.where("shape = 'open' and size(tail) > 0")
-    evidence = _ends(rows.where("not at_limit and not below_limit and shape != 'ellipsis'").select("val", "punctuated"))
-    known = open_rows.select("row_id", "source", "col", F.explode(F.array_distinct("tail")).alias("gram")).join(evidence, "gram", "left")
-    known = known.groupBy("row_id", "source", "col").agg(*_end_measures())
-    judged = open_rows.join(known, ["row_id", "source", "col"], "left").withColumn("broken", F.coalesce(F.col("whole"), F.lit(0)) == 0)
+    asked = rows.where("shape = 'open' and tail is not null and (punctuated or at_limit or below_limit)")
+    asked = asked.select("row_id", "source", "col", "punctuated", "at_limit", "below_limit", F.posexplode("tail").alias("k", "code"))
+    wanted = cut(asked.groupBy("code").agg(F.count(F.lit(1)).alias("n_asked")))
+    evidence = _ends(rows.where("not at_limit and not below_limit and shape != 'ellipsis'").select("val", "punctuated"), wanted)
+    # a run of words that very many rows ask for is split by salt, its one row of evidence repeated
+    hot = wanted.where(F.col("n_asked") > HOT_ASKED).select("code", F.ceil(F.col("n_asked") / HOT_ASKED).cast("int").alias("salts"))
+    if hot.count() <= MOST_COLUMNS:
+        hot = F.broadcast(hot)
+    salted = asked.join(hot, "code", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row_id", "col"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    repeated = evidence.join(hot, "code", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    judged = salted.join(repeated, ["code", "salt"], "left").groupBy("row_id", "source", "col", "punctuated", "at_limit", "below_limit").agg(*_end_measures())
+    judged = cut(judged.withColumn("broken", F.col("whole") == 0))
     # how often a source breaks words away from its limits
     prior = judged.where("punctuated and not at_limit and not below_limit").groupBy("source").agg(
         ((F.count_if("broken") + 0.02) / (F.count_if(~F.col("broken")) + 1.0)).alias("odds")
@@ -157,34 +182,76 @@ def find_cut_values(values: DataFrame) -> DataFrame:
     return found.unionByName(dots)
 
 
-def _ends(texts: DataFrame) -> DataFrame:
-    """(gram, n, ends): how often each run of words stands in the texts with something after it, and how often an end of sentence."""
+def _limits(seen: DataFrame) -> DataFrame:
+    """(source, col, punctuated, char_limits, byte_limits, dots_at): the spikes of each source and column, from one histogram of lengths."""
+    of = lambda *s: F.col("shape").isin(*s)
+    lengths = seen.select("source", "col", "shape", "words", F.xxhash64("val").alias("h"), F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "length"))
+    counted = lengths.groupBy("source", "col", "unit", "length").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(of("open")).alias("open"), F.count_if(of("ellipsis")).alias("dots"), F.count_if(of("ended", "noted")).alias("ended"),
+        F.sum("words").alias("words"), F.approx_count_distinct(F.when(of("open"), F.col("h"))).alias("different"),
+    )
+    whole, own = Window.partitionBy("col", "unit"), Window.partitionBy("source", "col", "unit")
+    near = own.orderBy("length").rangeBetween(-AROUND, AROUND)
+    counted = counted.select(
+        "*",
+        (F.sum("ended").over(whole) >= PUNCTUATED * F.sum("total").over(whole)).alias("punctuated"),
+        (F.sum("words").over(whole) >= RUNNING_WORDS * F.sum("total").over(whole)).alias("running"),
+        F.coalesce(F.sum("total").over(whole.orderBy("length").rangeBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("longer"),
+        ((F.sum("open").over(near) - F.col("open")) / (2.0 * AROUND)).alias("open_near"),
+        F.max("length").over(own).alias("longest"),
+        F.sum("total").over(own).alias("all"),
+        F.sum("dots").over(own).alias("all_dots"),
+        F.sum("dots").over(own.orderBy("length").rangeBetween(-ELLIPSIS_BELOW, ELLIPSIS_ABOVE)).alias("dots_near"),
+        F.max("dots").over(own).alias("most_dots"),
+    )
+    spike = (F.col("open") >= LEAST_SPIKE) & (F.col("open") >= SPIKE_RATIO * F.greatest("open_near", F.lit(0.2)))
+    at_most = (F.col("length") == F.col("longest")) & (F.col("open") >= LEAST_AT_MOST) & (F.col("open") >= SHARE_AT_MOST * F.col("all"))
+    at_most = at_most & (F.col("running") | ((F.col("different") >= LEAST_AT_MOST) & (F.col("longer") >= LEAST_SPIKE)))
+    limit = (F.col("punctuated") & spike) | at_most
+    dotted = F.col("punctuated") & (F.col("unit") == "chars") & (F.col("dots") == F.col("most_dots")) & (F.col("dots_near") >= LEAST_SPIKE) & (F.col("dots_near") >= 0.5 * F.col("all_dots"))
+    lengths_of = lambda unit: F.collect_set(F.when(limit & (F.col("unit") == unit), F.col("length")))
+    return counted.groupBy("source", "col").agg(
+        F.first("punctuated").alias("punctuated"), lengths_of("chars").alias("char_limits"), lengths_of("bytes").alias("byte_limits"), F.max(F.when(dotted, F.col("length"))).alias("dots_at")
+    )
+
+
+def _ends(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(code, n, ends) of the asked runs of words: how often each stands in the texts with something after it, and how often an end of sentence.
+
+    The bitmap has one place per code modulo its size; as it fills up it lets more
+    of the other runs through, which the join drops.
+    """
+    place = F.col("code").bitwiseAND(BITMAP - 1)
+    words = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(code & {BITMAP - 1} & 63 as int))")).alias("bits")).toArrow()  # at most BITMAP / 64 rows
+    bitmap = np.zeros(BITMAP // 64, np.uint64)
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
         for b in batches:
-            n: Counter = Counter()
-            ends: Counter = Counter()
-            for text, punctuated in zip(b["val"], b["punctuated"]):
-                tokens = TOKEN.findall(text)
-                last = len(tokens) - (1 if punctuated else 0)
-                for at in range(last):
-                    if tokens[at][0] in ".!?。！？":
-                        continue
-                    g = grams(tokens, at)
-                    n.update(g)
-                    if at + 1 == len(tokens) or tokens[at + 1][0] in ".!?。！？":
-                        ends.update(g)
-            yield pd.DataFrame({"gram": list(n), "n": list(n.values()), "ends": [ends.get(g, 0) for g in n]})
-
-    return texts.mapInPandas(count, "gram string, n long, ends long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+            runs = Runs(b["val"].tolist())
+            size = runs.end - runs.begin
+            text = np.repeat(np.arange(len(size)), size)
+            last = np.arange(len(text)) + 1 == runs.end[text]
+            after = np.r_[runs.stop[1:], False] | last
+            at = np.flatnonzero(~runs.stop & ~(last & b["punctuated"].to_numpy(bool)[text]))
+            code, there = runs.codes(at, runs.begin[text[at]])
+            slot = (code & (BITMAP - 1)).view(np.uint64)
+            there &= (held[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            kept, number = np.unique(code[there], return_inverse=True)
+            yield pd.DataFrame({"code": kept, "n": np.bincount(number, minlength=len(kept)), "ends": np.bincount(number, np.broadcast_to(after[at], there.shape)[there], len(kept)).astype(np.int64)})
+
+    counted = texts.mapInPandas(count, "code long, n long, ends long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return counted.join(wanted.select("code"), "code", "left_semi")
 
 
 def _end_measures() -> list:
-    """Of a tail's grams: occurrences of its last word as a whole word, and the chance that it ends a sentence."""
-    of = lambda k, c: F.coalesce(F.max(F.when(F.col("gram").startswith(f"{k}\t"), F.col(c))), F.lit(0))
+    """Of a tail's runs: occurrences of its last word as a whole word, and the chance that it ends a sentence."""
+    of = lambda k, c: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0))
     rate = lambda k: F.when(of(k, "n") >= 3, (of(k, "ends") + 0.3) / (of(k, "n") + 1.5))
-    best = F.greatest(rate(3), rate(4))
-    return [of(1, "n").alias("whole"), F.coalesce(best, rate(2), rate(1)).alias("p_end")]
+    best = F.greatest(rate(2), rate(3))
+    return [of(0, "n").alias("whole"), F.coalesce(best, rate(1), rate(0)).alias("p_end")]
 
 
 def find_truncated(entities: DataFrame) -> DataFrame:

@@ -122,6 +122,42 @@ def test_truncation(spark):
     assert truncation.find_truncated(df.limit(0)).count() == 0
 
 
+def _cut_values(spark, rows):
+    return {(r["row_id"], r["reason"]) for r in truncation.find_cut_values(spark.createDataFrame(rows, "row_id long, source string, col string, val string")).collect()}
+
+
+def test_truncation_is_the_same_under_small_bounds(spark, monkeypatch):
+    """Salted runs of words, a full bitmap and joins instead of broadcasts change nothing."""
+    rng = random.Random(5)
+    words = "the old pilot crossed a silent harbour while seven bright lanterns burned above every narrow street of town".split()
+    rows = []
+    for i in range(600):
+        t = " ".join(rng.choice(words) for _ in range(rng.randint(8, 30))).capitalize() + "."
+        rows.append((i, "a" if i % 2 else "b", "text", t if i % 5 else t[: len(t) - 4]))
+    expected = _cut_values(spark, rows)
+    assert {i for i, _ in expected} & set(range(0, 600, 5))
+    for name, value in (("HOT_ASKED", 3), ("BITMAP", 64), ("MOST_COLUMNS", 0)):
+        monkeypatch.setattr(truncation, name, value)
+    assert _cut_values(spark, rows) == expected
+
+
+def test_every_column_is_judged(spark):
+    """More than ten thousand columns, and one of short texts: names cut at twelve characters by one source."""
+    rng = random.Random(6)
+    part = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    rows = [(i, "s", f"key{i}", "whatever stands here") for i in range(10_050)]
+    cut = set()
+    for i in range(20_000, 20_400):
+        name = f"{part()} {part()}"
+        rows.append((i, "short" if i % 2 else "full", "name", name[:12] if i % 2 else name))
+        if i % 2 and len(name) > 12 and name[12] != " " and name[:12].rstrip() == name[:12]:
+            cut.add(i)
+    rows += [(i, "code", "id", part()[:3] + str(1000 + i)) for i in range(30_000, 30_050)]  # codes of one width are no cuts
+    got = {i for i, _ in _cut_values(spark, rows)}
+    assert len(cut - got) < 0.05 * len(cut)
+    assert not [i for i in got if i < 20_000 or i >= 30_000 or not i % 2]
+
+
 # --- tokens
 
 
