@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +34,8 @@ PAIRS = (
     ("utf-8", ("cp437",)),
     ("utf-8", ("cp850",)),
     ("utf-8", ("cp866",)),
+    ("utf-8", ("koi8_r",)),
+    ("utf-8", ("cp1253",)),
     ("cp1251", ("cp1252",)),
     ("koi8_r", ("cp1252",)),
     ("cp1253", ("cp1252",)),
@@ -43,8 +46,6 @@ LOST = "�"
 ENTER, LEAVE, DROPPED, FOREIGN = -6.0, -0.7, -3.0, -7.0
 #: Log-probability of a character that the column doesn't show; and, per character of its garbled form, of one that only the bytes suggest.
 UNSEEN, STRANGE = -16.0, -10.0
-#: Characters of the alphabet the model keeps; far above what any column shows, and a bound for the driver.
-MOST_CHARACTERS = 50_000
 
 
 def wrong(text: bytes, decoding: str, drop: bool) -> str:
@@ -206,8 +207,15 @@ def _suspect(text: str, model: Model) -> bool:
 
 
 def _counts(texts: DataFrame) -> dict[str, float]:
-    rows = texts.select(F.explode(F.split("text", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(MOST_CHARACTERS).collect()
-    return {r["c"]: float(r["n"]) for r in rows if r["c"] and len(r["c"]) == 1}
+    """How often each character stands in the texts (column text); as many rows at most as Unicode has characters."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = Counter("".join(b["text"]))
+            yield pd.DataFrame({"c": list(map(ord, n)), "n": list(n.values())})
+
+    rows = texts.select("text").mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    return {chr(c): float(n) for c, n in zip(rows.column("c").to_pylist(), rows.column("n").to_pylist())}
 
 
 def find_garbled(texts: DataFrame, *, rounds: int = 2) -> DataFrame:
