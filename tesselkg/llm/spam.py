@@ -1,10 +1,14 @@
 """Keyword-stuffed and link-list pages, by the mutual information of neighbouring words.
 
 Corpus counts tell in how many documents each word and each pair of neighbours
-stands. The pointwise mutual information of a page's pairs separates sentences
-(pairs others write too) from word salad (pairs nobody writes); pairs repeated
-within a page beyond measure, and words packed into it, mark stuffed
-collocations. A fixed linear rule over these shares decides.
+stands. The mean pointwise mutual information of a page's pairs separates
+sentences (pairs others write too) from word salad (pairs nobody writes); pairs
+repeated within a page although hardly any other page has them, and words
+likewise, mark stuffed collocations. Each of these raises the score. Mutual
+information is taken within the page's own language: the count of the page's
+commonest word stands for the number of pages in it. Means are drawn towards
+what is usual by a few pairs' weight, so that short pages need more than one
+odd pair.
 
 The counts of frequent words and pairs are broadcast up to a bound. For the
 rest they are bounded from above, which settles almost every page; pages whose
@@ -24,30 +28,24 @@ from pyspark.sql import functions as F
 
 from tesselkg.session import cut
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+")
+#: Characters of scripts that write no blanks are words of their own.
+TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+|\d+")
 ENTITY = re.compile(r"&#?\w+;")
 #: Most counts that are broadcast (16 bytes each).
 HOT_COUNTS = 1_000_000
 #: Words a worker keeps the hashes of.
 MEMORY = 1_000_000
-#: A page with fewer pairs is a stub of some kind and never spam.
-LEAST_PAIRS = 8
-# The rule. Weights of the page's measures, found once by a logistic regression over the edit notes of 100,000 revisions.
-WEIGHTS = {
-    "information": -1.708,
-    "incoherent": -1.837,
-    "coherent": -6.457,
-    "packed": 17.211,
-    "unseen": 1.76,
-    "repeated": -8.396,
-    "function": -13.545,
-    "varied": -6.633,
-}
-OFFSET = 6.779
-#: Least score of spam, and the share of words nobody else uses from which a page is keyboard mash instead.
-THRESHOLD, MOST_UNSEEN = 0.9, 0.5
-#: Shares of documents: a keyword stands in fewer, a word of repeated pairs in fewer, a function word in more.
-KEYWORD_BELOW, REPEATED_BELOW, FUNCTION_ABOVE = 0.06, 0.2, 0.25
+#: Times from which a pair and a word count as repeated within a page, and the share of all pages up to which they are hardly anybody else's.
+PAIR_TIMES, WORD_TIMES, PAIR_BELOW, WORD_BELOW = 3, 4, 0.01, 0.06
+#: The usual incoherence of a page, and the number of pairs (or words) it weighs as much as.
+USUAL, PRIOR_WEIGHT = 0.63, 8
+#: Share from which more repetition adds nothing: lyrics repeat as much as spam.
+FULL_SHARE = 0.25
+# Weights of incoherence, repeated pairs and repeated words, and the offset, as ``fit_rule`` gave them from the noted pages of one small sample (see the README).
+WEIGHTS = (4.16, 9.75, 38.59)
+OFFSET = -13.15
+#: Most labelled pages that a fit reads.
+MOST_LABELLED = 20_000
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -155,50 +153,79 @@ class Counts:
         return np.where(known, n, 1.0), np.where(known, n, float(self.most))
 
 
-def scores(p: Pages, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(least, greatest) score of each page that the counts allow, and its least share of unseen words."""
-    n = float(max(counts.total, 1))
-    word_low, word_high = counts.of(p.word)
-    pair_low, pair_high = counts.of(p.pair)
-    a_low, a_high = counts.of(p.left)
-    b_low, b_high = counts.of(p.right)
-    gain_low = np.log((pair_low - 0.95) / (a_high * b_high / n + 1))
-    gain_high = np.log((pair_high - 0.95) / (a_low * b_low / n + 1))
-    pairs = np.bincount(p.pair_doc, p.pair_times, p.n)
-    per_pair = lambda x: np.bincount(p.pair_doc, x * p.pair_times, p.n) / np.maximum(pairs, 1)
-    per_word = lambda x: np.bincount(p.word_doc, x * p.word_times, p.n) / np.maximum(p.length, 1)
-    packed = (p.word_times >= 4) & (p.word_times >= 0.02 * p.length[p.word_doc]) & ~p.word_titled
-    often = p.pair_times >= 4
-    both = lambda f: (f(*(gain_low, word_high, a_high, b_high)), f(*(gain_high, word_low, a_low, b_low)))
-    measures = {
-        "information": both(lambda g, w, a, b: per_pair(g)),
-        "incoherent": both(lambda g, w, a, b: per_pair(g < 0)),
-        "coherent": both(lambda g, w, a, b: per_pair(g > 1)),
-        "packed": both(lambda g, w, a, b: per_word(packed & (w < KEYWORD_BELOW * n))),
-        "unseen": both(lambda g, w, a, b: per_word(w <= 2)),
-        "repeated": both(lambda g, w, a, b: per_pair(often & (a < REPEATED_BELOW * n) & (b < REPEATED_BELOW * n))),
-        "function": both(lambda g, w, a, b: per_word(w > FUNCTION_ABOVE * n)),
-        "varied": (np.bincount(p.pair_doc, minlength=p.n) / np.maximum(pairs, 1),) * 2,
-    }
-    low, high = np.full(p.n, OFFSET), np.full(p.n, OFFSET)
-    for name, (x, y) in measures.items():
-        low += np.minimum(WEIGHTS[name] * x, WEIGHTS[name] * y)
-        high += np.maximum(WEIGHTS[name] * x, WEIGHTS[name] * y)
-    low[pairs < LEAST_PAIRS] = high[pairs < LEAST_PAIRS] = -np.inf
-    return low, high, np.minimum(*measures["unseen"])
-
-
-def _verdict(low: np.ndarray, high: np.ndarray, unseen_low: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(spam, left open) per page; a page that bounds can't rule out is left open until its counts are exact."""
-    if exact:
-        return (low >= THRESHOLD) & (unseen_low < MOST_UNSEEN), np.zeros(len(low), bool)
-    return np.zeros(len(low), bool), (high >= THRESHOLD) & (unseen_low < MOST_UNSEEN)
+def _mean(doc: np.ndarray, x: np.ndarray, weight: np.ndarray, n: int, usual: float) -> np.ndarray:
+    """Weighted mean of ``x`` per page, drawn towards the usual value."""
+    return (np.bincount(doc, x * weight, n) + PRIOR_WEIGHT * usual) / (np.bincount(doc, weight, n) + PRIOR_WEIGHT)
+
+
+def measures(p: Pages, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(incoherence, repeated pairs, repeated words) of each page, from exact counts.
+
+    Incoherence is the mean of the negative pointwise mutual information, the page
+    itself not counted; a word that no other page has says nothing about its pairs.
+    """
+    word, pair, a, b = (counts.of(x)[0] for x in (p.word, p.pair, p.left, p.right))
+    language = np.ones(p.n)
+    np.maximum.at(language, p.word_doc, word)
+    own = language[p.pair_doc]
+    lost = np.log((a * b / own + 1) / (pair - 0.95))
+    incoherent = _mean(p.pair_doc, lost, p.pair_times * ((a > 1) & (b > 1)), p.n, USUAL)
+    pairs = _mean(p.pair_doc, ((p.pair_times >= PAIR_TIMES) & (pair <= max(2, PAIR_BELOW * counts.total))).astype(float), p.pair_times, p.n, 0.0)
+    words = _mean(p.word_doc, ((p.word_times >= WORD_TIMES) & (word <= max(2, WORD_BELOW * counts.total)) & ~p.word_titled).astype(float), p.word_times, p.n, 0.0)
+    return incoherent, np.minimum(pairs, FULL_SHARE), np.minimum(words, FULL_SHARE)
+
+
+def score(p: Pages, counts: Counts) -> np.ndarray:
+    """The score of each page; from 0 it is spam."""
+    return OFFSET + sum(w * x for w, x in zip(WEIGHTS, measures(p, counts)))
+
+
+def may_be_spam(p: Pages, counts: Counts) -> np.ndarray:
+    """Whether a page's score can reach 0, for any counts within the bounds.
+
+    The means are largest over those uncertain pairs that lie above the mean needed.
+    """
+    (word_low, _), (pair_low, _), (a_low, a_high), (b_low, b_high) = (counts.of(x) for x in (p.word, p.pair, p.left, p.right))
+    language = np.ones(p.n)
+    np.maximum.at(language, p.word_doc, word_low)
+    pairs = _mean(p.pair_doc, ((p.pair_times >= PAIR_TIMES) & (pair_low <= max(2, PAIR_BELOW * counts.total))).astype(float), p.pair_times, p.n, 0.0)
+    words = _mean(p.word_doc, ((p.word_times >= WORD_TIMES) & (word_low <= max(2, WORD_BELOW * counts.total)) & ~p.word_titled).astype(float), p.word_times, p.n, 0.0)
+    needed = -(OFFSET + WEIGHTS[1] * np.minimum(pairs, FULL_SHARE) + WEIGHTS[2] * np.minimum(words, FULL_SHARE)) / WEIGHTS[0]
+    above = np.log((a_high * b_high / language[p.pair_doc] + 1) / (pair_low - 0.95)) - needed[p.pair_doc]
+    certain, possible = (a_low > 1) & (b_low > 1), (a_high > 1) & (b_high > 1)
+    gain = np.where(certain, above, np.where(possible, np.maximum(above, 0), 0)) * p.pair_times
+    return np.bincount(p.pair_doc, gain, p.n) + PRIOR_WEIGHT * (USUAL - needed) >= -1e-9
+
+
+def fit_weights(x: np.ndarray, spam: np.ndarray, rounds: int = 20_000, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(weights, offset) of a logistic regression whose weights can't be negative, by projected gradient steps on scaled measures."""
+    scale = np.r_[np.maximum(x.std(axis=0), 1e-9), 1.0]
+    z = np.c_[x, np.ones(len(x))] / scale
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        w -= 2 * (z.T @ (1 / (1 + np.exp(-(z @ w))) - spam) / len(spam) + decay * np.r_[w[:-1], 0])
+        w[:-1] = np.maximum(w[:-1], 0)
+    w = w / scale
+    return w[:-1], float(w[-1])
+
+
+def fit_rule(docs: DataFrame, label: str, *, text_col: str = "text", title_col: str = "title", most: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
+    """The rule's weights and offset from labelled pages: ``label`` names a boolean column, null where a page has no label.
+
+    Counts cover all of ``docs``; of the labelled pages at most ``most`` are read, chosen by hash.
+    """
+    pages = docs.select(F.col(text_col).alias("text"), F.col(title_col).alias("title"), F.col(label).alias("label")).where("text is not null")
+    counts = count_words(pages).toPandas()
+    known = Counts(counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy(), 1, int(counts.loc[counts["key"] == 0, "n"].sum()))
+    rows = pages.where("label is not null").orderBy(F.xxhash64("text"), "title").limit(most).toPandas()
+    x = np.stack(measures(Pages(rows["text"].tolist(), rows["title"].tolist()), known), axis=1)
+    return fit_weights(x, rows["label"].to_numpy(float))
 
 
 def find_spam(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", hot_counts: int = HOT_COUNTS) -> DataFrame:
     """(doc_id) of the pages that are mainly repeated keywords, links or product tags; one row per row of ``docs``.
 
-    Null, empty and very short texts are no spam; a null title excuses no words.
+    Null and empty texts are no spam; a short text is if its few pairs are odd enough; a null title excuses no words.
     Counts cover all pages, whole texts. Exact copies count as pages of their
     own, as they do in the corpus. ``id_col`` should be unique where pages are
     left open by the broadcast counts.
@@ -228,8 +255,8 @@ def find_spam(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
                 p = Pages(part["text"].tolist(), part["title"].tolist())
-                low, high, unseen = scores(p, known)
-                spam, left = _verdict(low, high, unseen, exact)
+                spam = score(p, known) >= 0 if exact else np.zeros(len(part), bool)
+                left = np.zeros(len(part), bool) if exact else may_be_spam(p, known)
                 ask = np.flatnonzero(left)
                 wanted: list = [[] for _ in range(len(part))]
                 if len(ask):
@@ -260,8 +287,7 @@ def find_spam(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 held = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
                 own_key = np.concatenate([mine[held], np.array([x["key"] for x in more], np.int64).view(np.uint64)])
                 own_n = np.concatenate([n[at[held]] if len(keys) else np.zeros(0), np.array([x["n"] for x in more], np.int64)])
-                low, high, unseen = scores(p, Counts(own_key, own_n, 1, total))
-                out += [d] if _verdict(low, high, unseen, True)[0][0] else []
+                out += [d] if score(p, Counts(own_key, own_n, 1, total))[0] >= 0 else []
             yield pd.DataFrame({"doc_id": np.array(out, np.int64)})
 
     settled = pages.join(open_pages.select("doc_id"), "doc_id").join(found, "doc_id", "left").mapInPandas(settle, "doc_id long")

@@ -279,20 +279,44 @@ def test_alignment_against_brute_force():
 # --- spam
 
 
-def test_spam_is_the_same_with_few_hot_counts(spark):
-    rng = random.Random(2)
-    nouns = [f"noun{c}" for c in "abcdefghijklmnopqrst"]
-    def prose():
-        return " ".join(f"The {rng.choice(nouns)} of the town was closed and the crew moved to the {rng.choice(nouns)} again." for _ in range(8))
+def _prose(rng, nouns):
+    return " ".join(f"The {rng.choice(nouns)} of the town was closed and the crew moved to the {rng.choice(nouns)} again." for _ in range(8))
+
 
-    keywords = ["casino", "cheap", "voucher", "replica", "torrent", "deal", "outlet", "loan"]
-    rows = [(i, prose(), "T") for i in range(300)]
-    rows += [(i, " ".join(rng.choice([*keywords, nouns[0], nouns[0]]) for _ in range(80)), None) for i in range(300, 312)]
-    rows += [(400, None, None), (401, "", ""), (402, "short", "x")]
+def test_spam(spark):
+    """Word salad, repeated keywords, tag lists and a short keyword stub against prose, lyrics, mash and redirects; the same with few broadcast counts."""
+    rng = random.Random(2)
+    nouns = [f"noun{c}{d}" for c in "abcdefghijklmnopqrst" for d in "xyzw"]
+    keywords = ["casino", "cheap", "voucher", "replica", "torrent", "deal", "outlet", "loan", *(f"offer{c}" for c in "abcdefghijklmnopqrstuvwxyz")]
+    rows = [(i, f"{_prose(rng, nouns)} No {rng.choice(keywords)} and no {rng.choice(keywords)} was seen.", "T") for i in range(1500)]
+    spam_rows = [(5000 + i, " ".join(rng.choice([*keywords, "nounax", "nounax"]) for _ in range(80)), None) for i in range(12)]
+    spam_rows += [(5020 + i, "The crew moved to the town again. " + " | ".join(f"{rng.choice(keywords)} {rng.choice(nouns)} {rng.choice(keywords)}" for _ in range(40)), "T") for i in range(12)]
+    spam_rows += [(5040, "cheap voucher nounax cheap voucher nounax cheap voucher nounax cheap voucher", "T")]
+    tags = [f"tag{c}{d}" for c in "abcdefghij" for d in "klmnop"]
+    spam_rows += [(5041, " ".join(tags * 5), "T"), (5042, " ".join(tags), "T")]  # 60 tags five times: each is under a fiftieth of the page
+    rows += spam_rows + [(6000, "#REDIRECT [[nounax]]", "T"), (6001, "qwlkje aslkdjq pqowie zmxnbc " * 3, "T"), (6002, None, None), (6003, "", ""), (6004, "short", "x"), (6005, _prose(rng, nouns) + " " + _prose(rng, nouns), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, title string")
-    exact = sorted(r[0] for r in spam.find_spam(df).collect())
-    assert exact == sorted(r[0] for r in spam.find_spam(df, hot_counts=20).collect())
-    assert set(exact) <= set(range(300, 312))
-    assert len(exact) >= 9
+    got = sorted(r[0] for r in spam.find_spam(df).collect())
+    for few in (0, 20, 100):
+        assert sorted(r[0] for r in spam.find_spam(df, hot_counts=few).collect()) == got
+    assert not [i for i in got if i < 5000 or i >= 6000]
+    assert set(range(5000, 5012)) | set(range(5020, 5032)) | {5041} <= set(got)
     assert spam.find_spam(df.limit(0)).count() == 0
     assert sorted(r[0] for r in spam.find_spam(df.drop("title")).collect())
+
+
+def test_repetition_raises_the_score():
+    assert min(spam.WEIGHTS) > 0
+    once = "red boat near old mill by grey hill over wide lake under dark sky"
+    pages = spam.Pages([once, f"{once} {once}", " ".join([once] * 4)], [None] * 3)
+    held = spam.Counts(np.unique(np.concatenate([pages.word, pages.every_pair])), np.full(len(np.unique(np.concatenate([pages.word, pages.every_pair]))), 2), 1, 3)
+    low, mid, high = spam.score(pages, held)
+    assert low <= mid < high
+
+
+def test_the_rule_can_be_fitted(spark):
+    rng = random.Random(4)
+    nouns = [f"noun{c}" for c in "abcdefghijklmnopqrst"]
+    rows = [(_prose(rng, nouns), "T", False) for _ in range(80)] + [(" ".join(rng.choice(["cheap", "deal", *nouns]) for _ in range(60)), "T", True) for _ in range(20)] + [(None, None, True), ("x", None, None)]
+    weights, offset = spam.fit_rule(spark.createDataFrame(rows, "text string, title string, y boolean"), "y")
+    assert (weights >= 0).all() and weights[0] > 0 and offset < 0
