@@ -59,6 +59,30 @@ def test_copies_of_one_vector(spark):
     assert all(sum(r["id"] == i for r in got) == 5 for i in range(60))
 
 
+def _recall(spark, x, k=5, **how):
+    got = {}
+    for r in neighbours.nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=k, **how).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    return np.mean([len(got.get(i, set()) & set(t)) / k for i, t in enumerate(_truth(x, k))])
+
+
+def test_hundreds_of_crowded_cells(spark):
+    """Small shards, samples and fans: cells are divided turn after turn, each by its own centroids, and routed in blocks."""
+    assert _recall(spark, _clusters(3000, 8), shard=24, split=30, sample=256, fan=64, block=50) > 0.85
+
+
+def test_cells_too_dense_to_divide(spark):
+    """No centroids can be fitted on so small a sample: parts by hash, every part asked."""
+    assert _recall(spark, _clusters(600, 9), shard=50, split=100, sample=4) > 0.95
+
+
+def test_lengths_are_kept_apart(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(_clusters(30, 1))] + [(100 + i, v.tolist()) for i, v in enumerate(_clusters(20, 2, dims=3))]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    assert {r["id"] for r in got} == {*range(30), *range(100, 120)}
+    assert all((r["id"] < 100) == (r["other"] < 100) for r in got)
+
+
 # --- wrong decodings
 
 
