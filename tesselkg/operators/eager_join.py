@@ -25,19 +25,31 @@ def key_states(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.select(F.explode(entry).alias("e")).groupBy("e.field_name", "e.key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def multiplied(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
+    """The roll-up of two inputs that are already reduced to states: ``left`` (on..., ln, s_<name>, c_<name>) and ``right`` (on..., rn).
+
+    Per ``by``: ``pairs`` (rows of the plain join, counts multiplied) and, per name
+    in ``sums``, the sum and number of the left values over those pairs.
+    """
+    out = [F.sum(F.col("ln") * F.col("rn")).alias("pairs")]
+    for c in sums:
+        out += [F.sum(F.col(f"s_{c}") * F.col("rn")).alias(f"sum_{c}"), F.sum(F.col(f"c_{c}") * F.col("rn")).alias(f"n_{c}")]
+    return left.join(right, list(on)).groupBy(*by).agg(*out)
+
+
 def hot_keys(df: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
     """(field_name, hot_key, n, total): the values holding at least ``share`` of all rows of ``df``.
 
-    The total is rolled up from the same states (it counts null keys too) and
-    joined back by field; null is never reported as a key. Empty input gives no rows.
+    The share of a key is the share of the pairs that its rows make with all rows
+    of the field: the field's rows joined to themselves by field name, rolled up by
+    key. Both inputs are the same states, aggregated once; the total counts null
+    keys too, but null is never reported. Empty input gives no rows.
     """
-    states = key_states(df, fields)
-    totals = states.groupBy("field_name").agg(F.sum("n").alias("total"))
-    return (
-        states.join(totals, "field_name")
-        .where(F.col("key").isNotNull() & (F.col("n") >= F.col("total") * F.lit(share)))
-        .select("field_name", F.col("key").alias("hot_key"), "n", "total")
-    )
+    states = key_states(df, fields).withColumnRenamed("n", "ln")
+    totals = states.groupBy("field_name").agg(F.sum("ln").alias("rn"))
+    pairs = multiplied(states, totals, ["field_name"], [F.col("field_name"), F.col("key"), F.col("ln"), F.col("rn")])
+    hot = F.when(F.col("pairs") >= F.lit(share) * F.col("rn") * F.col("rn"), F.col("key"))  # tested as one value, so that both inputs stay the same and are read once
+    return pairs.select("field_name", hot.alias("hot_key"), F.col("ln").alias("n"), F.col("rn").alias("total")).where(F.col("hot_key").isNotNull())
 
 
 def eager_join_aggregate(
@@ -58,17 +70,13 @@ def eager_join_aggregate(
     compact_left = compact_left.groupBy("k", *[f"l_{c}" for c in left_by]).agg(*states)
     compact_right = right.select(right_key.alias("k"), *[F.col(f"`{c}`").alias(f"r_{c}") for c in right_by]).where(F.col("k").isNotNull())
     compact_right = compact_right.groupBy("k", *[f"r_{c}" for c in right_by]).agg(F.count(F.lit(1)).alias("rn"))
-    joined = compact_left.join(compact_right, "k")
-    out = [F.sum(F.col("ln") * F.col("rn")).alias("pairs")]
-    for c in sums:
-        out += [F.sum(F.col(f"s_{c}") * F.col("rn")).alias(f"sum_{c}"), F.sum(F.col(f"c_{c}") * F.col("rn")).alias(f"n_{c}")]
     keys = [F.col(f"l_{c}").alias(c) for c in left_by] + [F.col(f"r_{c}").alias(c if c not in left_by else f"right_{c}") for c in right_by]
-    return joined.groupBy(*keys).agg(*out)
+    return multiplied(compact_left, compact_right, ["k"], keys, sums)
 
 
 def path_counts(edges: DataFrame, head: Column, tail: Column, kind: str) -> DataFrame:
     """Two-step paths ``a -> m -> b`` per (first kind, second kind): in- and out-degrees of each middle are multiplied."""
     ends = edges.select(head.alias("h"), tail.alias("t"), F.col(kind).alias("kind"))
-    into = ends.where(F.col("t").isNotNull()).groupBy(F.col("t").alias("m"), F.col("kind").alias("first_kind")).agg(F.count(F.lit(1)).alias("i"))
-    out = ends.where(F.col("h").isNotNull()).groupBy(F.col("h").alias("m"), F.col("kind").alias("second_kind")).agg(F.count(F.lit(1)).alias("o"))
-    return into.join(out, "m").groupBy("first_kind", "second_kind").agg(F.sum(F.col("i") * F.col("o")).alias("paths"))
+    into = ends.where(F.col("t").isNotNull()).groupBy(F.col("t").alias("m"), F.col("kind").alias("first_kind")).agg(F.count(F.lit(1)).alias("ln"))
+    out = ends.where(F.col("h").isNotNull()).groupBy(F.col("h").alias("m"), F.col("kind").alias("second_kind")).agg(F.count(F.lit(1)).alias("rn"))
+    return multiplied(into, out, ["m"], [F.col("first_kind"), F.col("second_kind")]).withColumnRenamed("pairs", "paths")

@@ -26,18 +26,29 @@ def all_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated.unionByName(held)
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    return wide.wide_table(all_statements(spark, sf_dir), table(spark, sf_dir, "attribute_columns"))
+
+
 def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entity, cells in canonical text form."""
-    return wide.wide_table(all_statements(spark, sf_dir), table(spark, sf_dir, "attribute_columns"))
+    return _wide(spark, sf_dir)[0]
 
 
 def p2_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table with the columns' types."""
-    return wide.typed(p2_wide(spark, sf_dir), wide.declared_attributes(table(spark, sf_dir, "attribute_columns")))
+    return wide.typed(*_wide(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.unpivot(p2_typed(spark, sf_dir), wide.declared_attributes(table(spark, sf_dir, "attribute_columns")))
+    cells, attrs = _wide(spark, sf_dir)
+    return wide.unpivot(wide.typed(cells, attrs), attrs)
+
+
+def p2_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attribute list: the type that holds, the one the values show, values known and readable."""
+    columns = table(spark, sf_dir, "attribute_columns")
+    return wide.reconciled(wide.mapped_cells(all_statements(spark, sf_dir), columns), columns)
 
 
 def p2_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +145,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_wide": p2_wide,
     "p2_typed": p2_typed,
+    "p2_schema": p2_schema,
     "p2_discovered": p2_discovered,
     "p5_found": p5_found,
     "p5_key_counts": p5_key_counts,

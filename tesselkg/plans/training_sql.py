@@ -79,13 +79,14 @@ WHERE hot_key IS NOT NULL AND n >= 0.02 * (SELECT count(*) FROM relations)""",
 SELECT 'relation_type' AS field_name, relation_type AS key, count(*) AS n FROM relations GROUP BY 2
 UNION ALL SELECT 'head_entity_id', head_entity_id, count(*) FROM relations GROUP BY 2
 UNION ALL SELECT 'tail_entity_id', tail_entity_id, count(*) FROM relations GROUP BY 2""",
-    "p5_join_rollup": """
+    "p5_join_rollup": f"""
 SELECT relation_type, entity_type, count(*) AS pairs, round(sum(r.confidence), 3) AS sum_confidence, count(r.confidence) AS n_confidence
-FROM relations r JOIN entities e ON r.tail_entity_id = e.entity_id GROUP BY 1, 2""",
-    "p5_path_counts": """
-SELECT first_kind, second_kind, cast(sum(i * o) AS bigint) AS paths
-FROM (SELECT tail_entity_id AS m, relation_type AS first_kind, count(*) AS i FROM relations GROUP BY ALL)
-JOIN (SELECT head_entity_id AS m, relation_type AS second_kind, count(*) AS o FROM relations GROUP BY ALL) USING (m) GROUP BY 1, 2""",
+FROM relations r JOIN entities e ON {PLAIN_ID.format(c="r.tail_entity_id")} = {PLAIN_ID.format(c="e.entity_id")} GROUP BY 1, 2""",
+    "p5_path_counts": f"""
+SELECT a.relation_type AS first_kind, b.relation_type AS second_kind, count(*) AS paths
+FROM (SELECT relation_type, {PLAIN_ID.format(c="tail_entity_id")} AS m FROM relations) a JOIN (SELECT relation_type, {PLAIN_ID.format(c="head_entity_id")} AS m FROM relations) b USING (m) GROUP BY 1, 2""",
+    "p2_typed": f"""WITH wide AS ({P2_WIDE})
+SELECT entity_id, budget::bigint AS budget, country_name, gross::bigint AS gross, in_colour::boolean AS in_colour, release_date::date AS release_date, runtime_min::int AS runtime_min, score::decimal(3,1) AS score, spoken_language FROM wide""",
     "p7_found": f"WITH {SIDES} SELECT row_id, side FROM probed WHERE reason <> ''",
     "p7_report": f"""WITH {SIDES}
 SELECT 'relations' AS table_name, side, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period, count(*) AS n_refs, count(*) FILTER (reason <> '') AS n_orphans,

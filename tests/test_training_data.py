@@ -75,12 +75,17 @@ def test_wide_table(spark):
         ("c", None, "no", T(1), 7, None, None),
         ("d", "dbp:other", "no", T(1), 8, None, None),
     ]
-    w = wide.wide_table(_eav(spark, rows), cols)
+    w, attrs = wide.wide_table(_eav(spark, rows), cols)
+    assert attrs == [("budget", "bigint"), ("in_colour", "boolean")]
     assert [tuple(r) for r in w.collect()] == [("a", "2000", "true")]
-    typed = wide.typed(w, wide.declared_attributes(cols))
+    typed = wide.typed(w, attrs)
     assert typed.dtypes == [("entity_id", "string"), ("budget", "bigint"), ("in_colour", "boolean")]
-    assert sorted(map(tuple, wide.unpivot(typed, wide.declared_attributes(cols)).collect())) == [("a", "budget", "2000"), ("a", "in_colour", "true")]
-    assert wide.wide_table(_eav(spark, []), cols).columns == ["entity_id", "budget", "in_colour"]
+    assert sorted(map(tuple, wide.unpivot(typed, attrs).collect())) == [("a", "budget", "2000"), ("a", "in_colour", "true")]
+    empty, attrs = wide.wide_table(_eav(spark, []), cols)
+    assert (empty.count(), empty.columns) == (0, ["entity_id", "budget", "in_colour"])
+    # a type that reads nothing, or none at all, gives way to the one found
+    wrong = spark.createDataFrame([("dbo:budget", "budget", "date"), ("dbp:color", "in_colour", None)], "predicate string, attr string, attr_type string")
+    assert wide.wide_table(_eav(spark, rows), wrong)[1] == [("budget", "bigint"), ("in_colour", "boolean")]
 
 
 def test_discovered_types(spark):
