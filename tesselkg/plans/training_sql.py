@@ -16,28 +16,33 @@ bare AS (
   FROM said WHERE txt IS NOT NULL AND entity_id IS NOT NULL
 )"""
 
-READ = r"""
-cells AS (
-  SELECT entity_id, attr, ts, src, row_id, CASE attr_type
-    WHEN 'date' THEN strftime(coalesce(try_cast(t AS date),
+READERS = {
+    "date": r"""strftime(coalesce(try_cast(t AS date),
       CASE WHEN regexp_matches(t, '^\d{4}-\d\d-\d\dT') THEN try_cast(t[:10] AS date) END,
       CASE WHEN regexp_matches(t, '^\d{8}$') THEN try_strptime(t, '%Y%m%d')::date END,
-      try_strptime(t, '%d %B %Y')::date, try_strptime(t, '%d %b %Y')::date, try_strptime(t, '%B %d, %Y')::date, try_strptime(t, '%b %d, %Y')::date), '%Y-%m-%d')
-    WHEN 'int' THEN CASE
-      WHEN regexp_matches(t, '^\d+(\.0+)?( min| minutes)?$') THEN regexp_extract(t, '^\d+')
+      try_strptime(t, '%d %B %Y')::date, try_strptime(t, '%d %b %Y')::date, try_strptime(t, '%B %d, %Y')::date, try_strptime(t, '%b %d, %Y')::date), '%Y-%m-%d')""",
+    "int": r"""CASE
+      WHEN regexp_matches(t, '^\d+(\.0+)?( min| minutes)?$') THEN try_cast(regexp_extract(t, '^\d+') AS int)::varchar
       WHEN regexp_matches(t, '^PT\d+M$') THEN regexp_extract(t, '\d+')
-      WHEN regexp_matches(t, '^\d+ h \d+ min$') THEN cast(60 * regexp_extract(t, '^(\d+) h (\d+)', 1)::int + regexp_extract(t, '^(\d+) h (\d+)', 2)::int AS varchar) END
-    WHEN 'bigint' THEN CASE
-      WHEN regexp_matches(t, '^(\$)?\d[\d,]*(\.0+)?$') THEN regexp_extract(regexp_replace(t, '[$,]', '', 'g'), '^\d+')
+      WHEN regexp_matches(t, '^\d+ h \d+ min$') THEN cast(60 * regexp_extract(t, '^(\d+) h (\d+)', 1)::int + regexp_extract(t, '^(\d+) h (\d+)', 2)::int AS varchar) END""",
+    "bigint": r"""CASE
+      WHEN regexp_matches(t, '^(\$)?\d[\d,]*(\.\d+)?$') THEN cast(cast(round(try_cast(regexp_replace(t, '[$,]', '', 'g') AS decimal(24,6))) AS bigint) AS varchar)
       WHEN regexp_matches(t, '^\d\.\d+E\+\d\d$') THEN cast(cast(round(try_cast(t AS double)) AS bigint) AS varchar)
-      WHEN regexp_matches(t, '^(US\$ )?[\d.]+(M| million)$') THEN cast(cast(round(regexp_extract(t, '([\d.]+)')::double * 1000000) AS bigint) AS varchar) END
-    WHEN 'decimal(3,1)' THEN CASE WHEN regexp_matches(t, '^\d{1,2}([.,]\d+)?( ?/ ?10)?$') THEN cast(cast(replace(regexp_extract(t, '^[\d.,]+'), ',', '.') AS decimal(3,1)) AS varchar) END
-    WHEN 'boolean' THEN CASE WHEN lower(t) IN ('true', 't', 'yes', 'y', '1') THEN 'true' WHEN lower(t) IN ('false', 'f', 'no', 'n', '0') THEN 'false' END
-    WHEN 'string' THEN CASE WHEN lower(t) NOT IN ('', '-', '?', 'n/a', 'tba', 'unknown', 'to be confirmed', 'see notes') THEN trim(regexp_replace(replace(t, '_', ' '), '\s+', ' ', 'g')) END
-  END AS val
+      WHEN regexp_matches(t, '^(US\$ )?[\d.]+(M| million)$') THEN cast(cast(round(regexp_extract(t, '([\d.]+)')::double * 1000000) AS bigint) AS varchar) END""",
+    "decimal(3,1)": r"""CASE WHEN regexp_matches(t, '^\d{1,2}([.,]\d+)?( ?/ ?10)?$') THEN cast(cast(replace(regexp_extract(t, '^[\d.,]+'), ',', '.') AS decimal(3,1)) AS varchar) END""",
+    "boolean": r"""CASE WHEN lower(t) IN ('true', 't', 'yes', 'y', '1') THEN 'true' WHEN lower(t) IN ('false', 'f', 'no', 'n', '0') THEN 'false' END""",
+    "string": r"""CASE WHEN lower(t) NOT IN ('', '-', '?', 'n/a', 'tba', 'unknown', 'to be confirmed', 'see notes') THEN trim(regexp_replace(replace(t, '_', ' '), '\s+', ' ', 'g')) END""",
+}
+READ = f"""
+cells AS (
+  SELECT entity_id, attr, ts, src, row_id, CASE attr_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in READERS.items())} END AS val
   FROM bare JOIN (SELECT DISTINCT * FROM attribute_columns) USING (predicate)
 ),
 won AS (SELECT * FROM cells WHERE val IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id, attr ORDER BY ts DESC, src DESC, row_id DESC) = 1)"""
+NARROW = ("boolean", "date", "int", "decimal(3,1)", "bigint")
+P2_DISCOVERED = f"""WITH {STATEMENTS}, known AS (SELECT predicate AS attr, t FROM bare WHERE predicate IS NOT NULL AND lower(t) NOT IN ('', '-', '?', 'n/a', 'tba', 'unknown', 'to be confirmed', 'see notes')),
+counted AS (SELECT attr, count(*) AS n, {", ".join(f"count({READERS[k]}) AS n{i}" for i, k in enumerate(NARROW))} FROM known GROUP BY 1)
+SELECT attr, CASE {" ".join(f"WHEN n{i} >= 0.9 * n THEN '{k}'" for i, k in enumerate(NARROW))} ELSE 'string' END AS attr_type, n, CASE {" ".join(f"WHEN n{i} >= 0.9 * n THEN n{i}" for i in range(len(NARROW)))} ELSE n END AS n_readable FROM counted"""
 
 P2_FOUND = f"WITH {STATEMENTS}, {READ} SELECT entity_id, attr, val FROM won"
 
@@ -85,6 +90,7 @@ FROM relations r JOIN entities e ON {PLAIN_ID.format(c="r.tail_entity_id")} = {P
     "p5_path_counts": f"""
 SELECT a.relation_type AS first_kind, b.relation_type AS second_kind, count(*) AS paths
 FROM (SELECT relation_type, {PLAIN_ID.format(c="tail_entity_id")} AS m FROM relations) a JOIN (SELECT relation_type, {PLAIN_ID.format(c="head_entity_id")} AS m FROM relations) b USING (m) GROUP BY 1, 2""",
+    "p2_discovered": P2_DISCOVERED,
     "p2_typed": f"""WITH wide AS ({P2_WIDE})
 SELECT entity_id, budget::bigint AS budget, country_name, gross::bigint AS gross, in_colour::boolean AS in_colour, release_date::date AS release_date, runtime_min::int AS runtime_min, score::decimal(3,1) AS score, spoken_language FROM wide""",
     "p7_found": f"WITH {SIDES} SELECT row_id, side FROM probed WHERE reason <> ''",
