@@ -2,11 +2,14 @@
 
 A field is parsed into chunks. Quoted spans, JSON and list literals are atoms
 whose limits are certain. A run of unquoted text with delimiters inside is a
-lattice: every delimiter may or may not split. How often each value occurs in
-the whole column, and which word patterns values have (a trigram model over a
-bounded set of frequent words and word shapes, counted over all values whose
-limits are certain), decides: expectation-maximisation re-counts the values
-under the best splits, Viterbi then picks the split of each lattice.
+lattice: every delimiter may or may not split. A lettered list is a lattice over
+its letter marks, where only the next letter in order may follow; one that can
+be read in one way only is certain. How often each value occurs in the whole
+column, and which word patterns values have (a trigram model over a bounded set
+of frequent words and word shapes, counted over all values whose limits are
+certain), decides: expectation-maximisation re-counts the values under the best
+splits, Viterbi then picks the split of each lattice. A value may hold any
+number of delimiters.
 """
 
 from __future__ import annotations
@@ -16,16 +19,15 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselkg.session import cut
 
-#: A chunk is a list of pieces and of the delimiters between them; one piece means its limits are certain.
-CHUNKS = "array<struct<pieces: array<string>, delims: array<string>>>"
+#: A chunk is a list of pieces, of the delimiters between them, and of the pieces' letters in a lettered list; one piece means its limits are certain.
+CHUNKS = "array<struct<pieces: array<string>, delims: array<string>, letters: string>>"
 DELIMITER = re.compile(r"\s*(?:->|→|\|+|;+|,+|[\t\n\r]+|(?<=\s)/(?=\s))\s*")
 QUOTED = re.compile(r'\s*"((?:[^"\\]|""|\\.)*)"\s*(?=$|->|→|[|;,\t\n\r]|/\s)', re.S)
 NUMBERED = re.compile(r"^\s*\d{1,4}[.)]\s+")
@@ -33,8 +35,6 @@ OPTION = re.compile(r"(?:^|[,;|\t\n\r]\s*)\s*([A-Za-z])\s*[:.)]\s+")
 SINGLE_QUOTED = re.compile(r"^'.*'$", re.S)
 #: Frequent words that the pattern model keeps as they are; all others count as their shape. It bounds the model.
 KEPT_WORDS = 128
-#: The most delimiters one value may hold inside an unquoted run (model order, not a cap on values).
-MOST_INSIDE = 5
 #: Weight of the pattern model against the counted frequencies.
 PRIOR = 50.0
 
@@ -112,18 +112,37 @@ def parse_list(text: str | None) -> list[tuple[list[str], list[str]]]:
     return chunks
 
 
-def parse_options(text: str | None) -> list[tuple[list[str], list[str]]]:
-    """The titles of a lettered list (A: ..., B) ..., c. ...); only the next letter in order starts a new one."""
+def parse_options(text: str | None) -> list[tuple[list[str], list[str], str]]:
+    """The chunks (pieces, delimiters, letters) of a lettered list (A: ..., B) ..., c. ...); only the next letter in order starts a new one.
+
+    Where each due letter is marked once, its titles are certain; where one is
+    marked several times, the marks and what is between them are a lattice.
+    """
     if text is None or not text.strip():
         return []
-    starts, due = [], None
-    for m in OPTION.finditer(text):
-        letter = m.group(1).upper()
-        if due is None or letter == due:
-            starts.append((m.start(), m.end()))
-            due = chr(ord(letter) + 1)
-    values = [unquoted(text[b : n[0]].rstrip(" ,;|\t\n\r")) for (_, b), n in pairwise([*starts, (len(text), len(text))])]
-    return [([v], []) for v in values if v] if starts else parse_list(text)
+    marks = list(OPTION.finditer(text))
+    if not marks:
+        return [(*c, "") for c in parse_list(text)]
+    letters = "".join(m.group(1).upper() for m in marks)
+    path, at = [0], 0
+    while due := due_marks(letters, at):
+        if len(due) > 1:
+            bounds = [*(m.start() for m in marks[1:]), len(text)]
+            return [([text[m.end() : b] for m, b in zip(marks, bounds)], [m.group() for m in marks[1:]], letters)]
+        path.append(at := due[0])
+    bounds = [*(marks[k].start() for k in path[1:]), len(text)]
+    values = [option_title(text[marks[k].end() : b]) for k, b in zip(path, bounds)]
+    return [([v], [], "") for v in values if v]
+
+
+def due_marks(letters: str, at: int) -> list[int]:
+    """The later places of the letter that follows the one at ``at``."""
+    due = chr(ord(letters[at]) + 1)
+    return [k for k in range(at + 1, len(letters)) if letters[k] == due]
+
+
+def option_title(raw: str) -> str:
+    return unquoted(raw.rstrip(" ,;|\t\n\r"))
 
 
 def prompt_lists(text: str | None) -> tuple[str | None, str | None]:
@@ -166,40 +185,85 @@ class Patterns:
             self.pair[b, c] = self.pair.get((b, c), 0) + n
             self.one[b] = self.one.get(b, 0) + n
         self.size = len(kept) + 8
+        self.known: dict[tuple[str, str, str], float] = {}
+
+    def log(self, a: str, b: str, c: str) -> float:
+        """Log-probability of a token after the two before it."""
+        known = self.known.get((a, b, c))
+        if known is None:
+            low = (self.pair.get((b, c), 0) + 0.02) / (self.one.get(b, 0) + 0.02 * self.size)
+            known = self.known[a, b, c] = math.log((self.three.get((a, b, c), 0) + 2 * low) / (self.two.get((a, b), 0) + 2))
+        return known
+
+
+def steps(n: int, letters: str) -> list[list[int]] | None:
+    """For each piece of a lettered list, where a value that begins with it may end; None where every end is allowed."""
+    if not letters:
+        return None
+    return [due_marks(letters, i) or [n] for i in range(n)]
 
-    def log(self, value: str) -> float:
-        out = 0.0
-        for a, b, c in trigrams(value, self.kept):
-            n2, n1 = self.two.get((a, b), 0), self.one.get(b, 0)
-            low = (self.pair.get((b, c), 0) + 0.02) / (n1 + 0.02 * self.size)
-            out += math.log((self.three.get((a, b, c), 0) + 2 * low) / (n2 + 2))
-        return out
 
+def viterbi(pieces: list[str], delims: list[str], letters: str, freq: dict[str, int], total: float, model: Patterns) -> list[str]:
+    """The most probable split of one lattice into values, of all splits.
 
-def viterbi(pieces: list[str], delims: list[str], freq: dict[str, int], total: float, model: Patterns) -> list[str]:
-    """The most probable split of one lattice into values."""
+    ``freq`` holds the counted ones among its candidate values. The pattern model's
+    share of a value is a difference of running sums; the search for a value's
+    begin ends where no longer value can be better.
+    """
+    n = len(pieces)
+    token: list[str] = []
+    begin, end = [], []
+    for i, piece in enumerate(pieces):
+        begin.append(len(token))
+        token += [shape(w, model.kept) for w in words(piece)]
+        end.append(len(token))
+        token += [shape(w, model.kept) for w in words(delims[i])] if i < n - 1 else []
+    run = [0.0, 0.0]
+    for k in range(2, len(token)):
+        run.append(run[-1] + model.log(*token[k - 2 : k + 1]))
+
+    def pattern(s: int, e: int) -> float:
+        if e <= s:
+            return model.log("^", "^", "$")
+        head = model.log("^", "^", token[s])
+        if e == s + 1:
+            return head + model.log("^", token[s], "$")
+        return head + model.log("^", token[s], token[s + 1]) + run[e - 1] - run[s + 1] + model.log(token[e - 2], token[e - 1], "$")
+
+    allowed, prior, base = steps(n, letters), math.log(PRIOR), math.log(total + PRIOR)
+    longest = max(map(len, freq), default=0)
     best: list[tuple[float, int]] = [(0.0, 0)]
-    for j in range(1, len(pieces) + 1):
-        found = (-math.inf, 0)
-        for i in range(max(0, j - 1 - MOST_INSIDE), j):
-            value = joined(pieces, delims, i, j)
-            p = (freq.get(value, 0) + PRIOR * math.exp(max(model.log(value), -200.0))) / (total + PRIOR)
-            score = best[i][0] + math.log(max(p, 1e-280))
-            found = max(found, (score, i))
+    for j in range(1, n + 1):
+        found, size = (-math.inf, -1), 0
+        for i in range(j - 1, -1, -1):
+            size += len(pieces[i])
+            if (allowed is None or j in allowed[i]) and best[i][1] >= 0:
+                score = prior + pattern(begin[i], end[j - 1])
+                if count := freq.get(joined(pieces, delims, letters, i, j), 0) if size <= longest + 2 else 0:
+                    score = math.log(count) + math.log1p(math.exp(min(score - math.log(count), 700.0)))
+                found = max(found, (best[i][0] + score - base, i))
+            # whatever begins earlier is longer: not counted, and no likelier than its inner tokens
+            if size > longest + 2 and end[j - 1] >= begin[i] + 2 and prior - base + run[end[j - 1] - 1] - run[begin[i] + 1] < found[0]:
+                break
         best.append(found)
-    cuts, j = [], len(pieces)
+    cuts, j = [], n
     while j:
         cuts.append((best[j][1], j))
         j = best[j][1]
-    return [joined(pieces, delims, i, j) for i, j in reversed(cuts)]
+    return [v for i, j in reversed(cuts) if (v := joined(pieces, delims, letters, i, j))]
 
 
-def joined(pieces: list[str], delims: list[str], i: int, j: int) -> str:
-    return "".join(p + (delims[k] if k < j - 1 else "") for k, p in enumerate(pieces[i:j], i)).strip()
+def joined(pieces: list[str], delims: list[str], letters: str, i: int, j: int) -> str:
+    text = "".join(p + (delims[k] if k < j - 1 else "") for k, p in enumerate(pieces[i:j], i))
+    return option_title(text) if letters else text.strip()
 
 
-def candidates(pieces: list[str], delims: list[str]) -> set[str]:
-    return {joined(pieces, delims, i, j) for j in range(1, len(pieces) + 1) for i in range(max(0, j - 1 - MOST_INSIDE), j)}
+def candidates(pieces: list[str], delims: list[str], letters: str, inside: set[int]) -> set[str]:
+    """The values of a lattice that can have been counted: those with as many delimiters inside as some counted value has."""
+    n = len(pieces)
+    if allowed := steps(n, letters):
+        return {joined(pieces, delims, letters, i, j) for i in range(n) for j in allowed[i]}
+    return {joined(pieces, delims, letters, i, i + k + 1) for k in inside for i in range(n - k)}
 
 
 # --- the operator
@@ -217,40 +281,42 @@ def split_packed(fields: DataFrame, *, rounds: int = 2) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parsed = [parse_options(t) if k == "options" else parse_list(t) for k, t in zip(b["kind"], b["text"])]
-            b["chunks"] = [[{"pieces": p, "delims": d} for p, d in row] for row in parsed]
+            parsed = [parse_options(t) if k == "options" else [(*c, "") for c in parse_list(t)] for k, t in zip(b["kind"], b["text"])]
+            b["chunks"] = [[{"pieces": p, "delims": d, "letters": x} for p, d, x in row] for row in parsed]
             yield b[["field_name", "family", "row_id", "chunks"]]
 
     rows = cut(fields.where("text is not null").mapInPandas(parse, f"field_name string, family string, row_id long, chunks {CHUNKS}").where("size(chunks) > 0"))
     chunks = rows.select("field_name", "family", "row_id", F.posexplode("chunks").alias("no", "c"))
     certain = chunks.where("size(c.pieces) = 1").groupBy("family", F.col("c.pieces")[0].alias("val")).agg(F.count(F.lit(1)).alias("n"))
-    lattices = chunks.where("size(c.pieces) > 1").select("field_name", "family", "row_id", "no", "c.pieces", "c.delims")
+    lattices = chunks.where("size(c.pieces) > 1").select("field_name", "family", "row_id", "no", "c.pieces", "c.delims", "c.letters")
     models = _fit(certain)
     shared = fields.sparkSession.sparkContext.broadcast(models)
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["val"] = [sorted(candidates(list(p), list(d))) for p, d in zip(b["pieces"], b["delims"])]
-            yield b
-
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for fam, p, d, f, total in zip(b["family"], b["pieces"], b["delims"], b["freq"], b["total"]):
+            for fam, p, d, x, f, total in zip(b["family"], b["pieces"], b["delims"], b["letters"], b["freq"], b["total"]):
                 known = {x["val"]: x["n"] for x in f}
-                out.append(viterbi(list(p), list(d), known, total or 0.0, shared.value[fam]))
+                out.append(viterbi(list(p), list(d), x, known, total or 0.0, shared.value[fam]))
             b["vals"] = out
             yield b[["field_name", "family", "row_id", "no", "vals"]]
 
-    kept = "field_name string, family string, row_id long, no int, pieces array<string>, delims array<string>"
-    spread = lattices.mapInPandas(spans, kept + ", val array<string>")
+    kept = "field_name string, family string, row_id long, no int, pieces array<string>, delims array<string>, letters string"
     counts, chosen = certain, None
     for _ in range(rounds):
-        # the frequencies of a lattice's candidates come by a join, so no table of all values goes anywhere
+        inside = _inside(counts)
+
+        def spans(batches: Iterator[pd.DataFrame], inside=inside) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b["val"] = [sorted(candidates(list(p), list(d), x, inside.get(f, set()))) for f, p, d, x in zip(b["family"], b["pieces"], b["delims"], b["letters"])]
+                yield b
+
+        # the frequencies of a lattice's candidates come by a join, so no table of all values goes anywhere; a candidate of very many lattices is split by the adaptive skew join
+        spread = lattices.mapInPandas(spans, kept + ", val array<string>")
         totals = counts.groupBy("family").agg(F.sum("n").cast("double").alias("total"))
-        looked = spread.withColumn("val", F.explode("val")).join(counts, ["family", "val"], "left")
+        looked = spread.withColumn("val", F.explode_outer("val")).join(counts, ["family", "val"], "left")
         looked = looked.groupBy("field_name", "family", "row_id", "no").agg(
-            F.first("pieces").alias("pieces"), F.first("delims").alias("delims"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("val", "n"))).alias("freq")
+            F.first("pieces").alias("pieces"), F.first("delims").alias("delims"), F.first("letters").alias("letters"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("val", "n"))).alias("freq")
         )
         chosen = cut(looked.join(totals, "family", "left").mapInPandas(choose, "field_name string, family string, row_id long, no int, vals array<string>"))
         again = chosen.select("family", F.explode("vals").alias("val"))
@@ -260,15 +326,21 @@ def split_packed(fields: DataFrame, *, rounds: int = 2) -> DataFrame:
     return whole.select("field_name", "row_id", F.posexplode("vals").alias("p", "val")).select("field_name", "row_id", (F.col("p") + 1).cast("long").alias("pos"), "val")
 
 
+def _inside(counts: DataFrame) -> dict[str, set[int]]:
+    """The numbers of delimiters inside the counted values, by family; a few small integers each."""
+    number = F.size(F.regexp_extract_all("val", F.lit(DELIMITER.pattern), F.lit(0)))
+    rows = counts.groupBy("family").agg(F.collect_set(number).alias("k")).collect()
+    return {r["family"]: set(r["k"]) for r in rows}
+
+
 def _fit(certain: DataFrame) -> dict[str, Patterns]:
     """The pattern model of each family, from the counts of all certain values; its tables are bounded by KEPT_WORDS."""
     spread = certain.select("family", "n", F.explode(F.regexp_extract_all("val", F.lit(r"[\p{L}\p{N}]+(?:[-’'][\p{L}\p{N}]+)*|[^\p{L}\p{N}_\s]"), 0)).alias("w"))
     common = spread.groupBy("family", "w").agg(F.sum("n").alias("n"))
-    top = common.orderBy(F.desc("n"), "family", "w").limit(KEPT_WORDS * 4).collect()  # a bounded list of words
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("n"), "w"))  # each task keeps its own first ones
     kept: dict[str, list[str]] = {}
-    for r in top:
-        if len(kept.setdefault(r["family"], [])) < KEPT_WORDS:
-            kept[r["family"]].append(r["w"])
+    for r in common.withColumn("place", place).where(F.col("place") <= KEPT_WORDS).select("family", "w").collect():
+        kept.setdefault(r["family"], []).append(r["w"])
     fixed = {f: frozenset(w) for f, w in kept.items()}
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,4 +363,5 @@ class _Models(dict):
     """Families without any certain value get an empty model."""
 
     def __missing__(self, family: str) -> Patterns:
-        return Patterns(frozenset(), {})
+        self[family] = Patterns(frozenset(), {})
+        return self[family]

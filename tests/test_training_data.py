@@ -147,9 +147,53 @@ def test_lattices(text, values):
 
 
 def test_options():
-    assert [p[0] for p, _ in packed.parse_options('A: "x, y", B: Great Race, The, C: z')] == ["x, y", "Great Race, The", "z"]
-    assert [p[0] for p, _ in packed.parse_options("a) x\nb) y, A\nc) z")] == ["x", "y, A", "z"]
+    assert [p[0] for p, *_ in packed.parse_options('A: "x, y", B: Great Race, The, C: z')] == ["x, y", "Great Race, The", "z"]
+    assert [p[0] for p, *_ in packed.parse_options("a) x\nb) y, A\nc) z")] == ["x", "y, A", "z"]
     assert packed.parse_options(None) == []
+    # a due letter that is marked twice makes a lattice over the marks
+    ((pieces, _, letters),) = packed.parse_options("A: one, B: two, B: three, C: four")
+    assert (pieces, letters) == (["one", "two", "three", "four"], "ABBC")
+    split = lambda freq: packed.viterbi(*packed.parse_options("A: one, B: two, B: three, C: four")[0], freq, 1000.0, packed.Patterns(frozenset(), {}))
+    assert split({"one": 9, "two, B: three": 9, "four": 9}) == ["one", "two, B: three", "four"]
+    assert split({"one, B: two": 9, "three": 9, "four": 9}) == ["one, B: two", "three", "four"]
+
+
+def test_a_value_may_hold_any_number_of_delimiters():
+    letters = [chr(ord("A") + i) for i in range(20)]
+    lattice = (letters, [", "] * 19, "")
+    empty = packed.Patterns(frozenset(), {})
+    assert packed.viterbi(*lattice, {", ".join(letters[:8]): 100_000, ", ".join(letters[8:]): 100_000}, 1e6, empty) == [", ".join(letters[:8]), ", ".join(letters[8:])]
+    assert packed.viterbi(*lattice, dict.fromkeys(letters, 1000), 20_000.0, empty) == letters
+
+
+def test_viterbi_is_exact():
+    """Against all splits, with and without counts, under a model fitted on values with commas."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(5)
+    counts: dict = {}
+    for v in ["Great Race, The", "Solo", "One, Two, Three", "Red Boat", "Boat, The"] * 5:
+        for t in packed.trigrams(v, frozenset({",", "The"})):
+            counts[t] = counts.get(t, 0) + 1
+    model = packed.Patterns(frozenset({",", "The"}), counts)
+
+    def pattern(v):
+        return sum(model.log(*t) for t in packed.trigrams(v, model.kept))
+
+    for _ in range(60):
+        n = rng.randint(2, 8)
+        pieces, delims = [rng.choice(["Great Race", "The", "Solo", "One", "Boat", "x9"]) for _ in range(n)], [rng.choice([", ", " | ", "; "]) for _ in range(n - 1)]
+        spans = packed.candidates(pieces, delims, "", set(range(n)))
+        freq = {v: rng.randint(1, 50) for v in spans if rng.random() < 0.2}
+        score = lambda v: math.log(freq.get(v, 0) + packed.PRIOR * math.exp(pattern(v))) - math.log(500 + packed.PRIOR)
+        best = -math.inf
+        for cut in itertools.product([0, 1], repeat=n - 1):
+            ends = [0, *(i + 1 for i, c in enumerate(cut) if c), n]
+            best = max(best, sum(score(packed.joined(pieces, delims, "", a, b)) for a, b in itertools.pairwise(ends)))
+        got = packed.viterbi(pieces, delims, "", freq, 500.0, model)
+        assert math.isclose(sum(map(score, got)), best, rel_tol=1e-9)
 
 
 def test_split_packed(spark):
@@ -161,3 +205,11 @@ def test_split_packed(spark):
         got.setdefault(r["row_id"], []).append(r["val"])
     assert got == {1000: ["Name3, The", "Other of Name4", "Solo, The"], 1001: ["Other of Name9", "The Big Name8", "Name1, The"]}
     assert packed.split_packed(fields.limit(0)).count() == 0
+
+
+def test_words_are_kept_per_family(spark):
+    """Seven families of very different sizes: each keeps its own frequent words."""
+    rows = [("h", f"f{k}", 1000 * k + i, "list", f'["word{k}a word{k}b thing"]') for k in range(7) for i in range(1 + 100 * (k == 0))]
+    certain = spark.createDataFrame([(r[1], r[4][2:-2], 1) for r in rows], "family string, val string, n long")
+    models = packed._fit(certain)
+    assert all(models[f"f{k}"].kept == {f"word{k}a", f"word{k}b", "thing"} for k in range(7))
