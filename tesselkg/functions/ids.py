@@ -10,6 +10,7 @@ RESOURCE = "http://kg.example/resource/"
 ONTOLOGY = "http://kg.example/ontology/"
 PROPERTY = "http://kg.example/property/"
 PREFIXES = {ONTOLOGY: "dbo:", PROPERTY: "dbp:"}
+STANDARD = {"http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf:", "http://www.w3.org/2000/01/rdf-schema#": "rdfs:"}
 
 
 def bare_uri(col: Column) -> Column:
@@ -40,3 +41,21 @@ def short_predicate(col: Column) -> Column:
     for uri, prefix in PREFIXES.items():
         out = F.regexp_replace(out, "^" + uri.replace(".", r"\."), prefix)
     return F.trim(out)
+
+
+def local_id(uri: Column) -> Column:
+    """The local id of a URI: without the graph's resource, property or ontology prefix; of any other URI the last segment."""
+    bare = bare_uri(uri)
+    out = F.when(F.contains(bare, F.lit("://")), F.element_at(F.split(bare, "/"), -1)).otherwise(canonical_id(uri))
+    for prefix in (ONTOLOGY, PROPERTY):
+        out = F.when(F.startswith(bare, F.lit(prefix)), F.replace(bare, F.lit(prefix), F.lit(""))).otherwise(out)
+    return F.when(F.startswith(bare, F.lit(RESOURCE)), canonical_id(uri)).otherwise(out)
+
+
+def curie(predicate: Column) -> Column:
+    """A predicate as ``dbo:``, ``dbp:``, ``rdf:`` or ``rdfs:`` name; of any other URI the last segment."""
+    bare = bare_uri(predicate)
+    out = F.element_at(F.split(bare, "/"), -1)
+    for uri, prefix in {**PREFIXES, **STANDARD}.items():
+        out = F.when(F.startswith(bare, F.lit(uri)), F.replace(bare, F.lit(uri), F.lit(prefix))).otherwise(out)
+    return F.trim(out)

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 # The sentence of each relation type that has one; all others read "head phrase tail".
 TEMPLATES = {
-    "dbo:director": ("is directed by"),
-    "dbo:starring": ("stars"),
-    "dbo:producer": ("is produced by"),
-    "dbo:writer": ("is written by"),
-    "dbo:musicComposer": ("has music composed by"),
-    "dbo:cinematography": ("has cinematography by"),
-    "dbo:editing": ("is edited by"),
-    "dbo:genre": ("belongs to genre"),
-    "dbo:distributor": ("is distributed by"),
-    "dbo:productionCompany": ("is produced by company"),
-    "dbo:country": ("is from country"),
-    "dbo:language": ("is in language"),
-    "dbo:releaseDate": ("was released on"),
-    "dbo:budget": ("has budget"),
-    "dbo:gross": ("grossed"),
-    "dbo:runtime": ("has runtime"),
-    "dbo:birthPlace": ("was born in"),
-    "dbo:occupation": ("works as"),
-    "dbo:spouse": ("is married to"),
-    "dbo:award": ("won award"),
+    "dbo:director": "is directed by",
+    "dbo:starring": "stars",
+    "dbo:producer": "is produced by",
+    "dbo:writer": "is written by",
+    "dbo:musicComposer": "has music composed by",
+    "dbo:cinematography": "has cinematography by",
+    "dbo:editing": "is edited by",
+    "dbo:genre": "belongs to genre",
+    "dbo:distributor": "is distributed by",
+    "dbo:productionCompany": "is produced by company",
+    "dbo:country": "is from country",
+    "dbo:language": "is in language",
+    "dbo:releaseDate": "was released on",
+    "dbo:budget": "has budget",
+    "dbo:gross": "grossed",
+    "dbo:runtime": "has runtime",
+    "dbo:birthPlace": "was born in",
+    "dbo:occupation": "works as",
+    "dbo:spouse": "is married to",
+    "dbo:award": "won award",
 }
 #: Characters kept of a comment, an abstract and a context.
 COMMENT, ABSTRACT, CONTEXT = 200, 150, 100

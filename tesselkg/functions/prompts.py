@@ -13,6 +13,10 @@ THEMES = ("director", "actor", "genre", "producer", "story", "style")
 REASONS = ("why", "because", "reason", "based on", "features", "known for")
 POSITIVE = ("good", "great", "helpful", "perfect", "excellent", "thanks")
 NEGATIVE = ("bad", "wrong", "unhelpful", "terrible", "awful", "no")
+GENERATED_FORMS = (r"(?i)(?:Answer|Option|Choice|Select|Pick|Recommend)[:\s]*([A-T])\b", r"(?i)\b([A-T])\s*(?:is the best|would be|is my)", r"(?i)(?:I choose|I select|I recommend)[:\s]*([A-T])\b", r"(?i)\b([A-T])\s*$")
+ANALYSIS = ("analyze", "based on", "consider", "match", "suitable", "recommend")
+NO_MENTIONS = ("this", "that", "these", "those", "with", "from")
+OPTION_PROMPT = ("Based on the user's watching history, select the best movie from options A-T.\n\n", "\n\nOptions: ", "\n\nAnswer with ONE letter (A-T): Analysis and Answer:")
 #: Characters kept of an option's title, of a prompt without history, and of the knowledge.
 MOST_TITLE, MOST_HISTORY, MOST_KNOWLEDGE = 30, 500, 500
 
@@ -88,8 +92,22 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def generation_confidence(text: Column, own: Column, knowledge: Column) -> Column:
+    """0 without a text or without knowledge."""
     structured = F.when(_any(text, ("1.", "2.", "•", "-")), 0.8).otherwise(0.4)
-    return (length_score(text, 300.0) + F.least(F.lit(1.0), overlap(own, knowledge) * 2) + structured) / 3
+    score = (length_score(text, 300.0) + F.least(F.lit(1.0), overlap(own, knowledge) * 2) + structured) / 3
+    return F.when((F.coalesce(text, F.lit("")) == "") | (F.size(knowledge) == 0), 0.0).otherwise(score)
+
+
+def explanation_quality(text: Column, own: Column, knowledge: Column) -> Column:
+    """Length, words shared with the knowledge, and words of analysis; 0 without a text."""
+    score = (length_score(text, 150.0) + F.least(F.lit(1.0), overlap(own, knowledge) * 2) + F.least(F.lit(1.0), _hits(F.lower(text), ANALYSIS) / 3.0)) / 3
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(score)
+
+
+def mentions(text: Column) -> Column:
+    """The first three words of more than four letters that are no stop words."""
+    long = lambda w: (F.length(w) > 4) & ~F.lower(w).isin(*NO_MENTIONS)
+    return F.slice(F.filter(F.split(text, r"\s+"), long), 1, 3)
 
 
 def diversity(text: Column, all_words: Column, own: Column) -> Column:
@@ -98,7 +116,9 @@ def diversity(text: Column, all_words: Column, own: Column) -> Column:
 
 
 def quality(text: Column, own: Column, asked: Column) -> Column:
-    return (overlap(asked, own) + F.when(_any(F.lower(text), REASONS), 0.8).otherwise(0.4) + F.when(_any(text, ("1.", "2.", "3.")), 0.8).otherwise(0.3)) / 3
+    """0 without a text or without a query."""
+    score = (overlap(asked, own) + F.when(_any(F.lower(text), REASONS), 0.8).otherwise(0.4) + F.when(_any(text, ("1.", "2.", "3.")), 0.8).otherwise(0.3)) / 3
+    return F.when((F.coalesce(text, F.lit("")) == "") | (F.size(asked) == 0), 0.0).otherwise(score)
 
 
 def satisfaction(text: Column) -> Column:

@@ -61,12 +61,18 @@ def ranked_edges(relations: DataFrame, most: int) -> DataFrame:
 
 
 def two_hop(centres: DataFrame, relations: DataFrame, most: int) -> DataFrame:
-    """Edges of the two-hop neighbourhood of each centre (column centre), with their hop; parallel first edges repeat the second hop."""
-    capped = ranked_edges(relations, most).select("relation_id", "relation_type", "head", "tail", "confidence", "rn")
-    first = centres.select("centre").distinct().join(capped, F.col("centre") == F.col("head"))
-    hop1 = first.select("centre", F.lit(1).alias("hop"), "rn", F.lit(0).alias("rn2"), "head", "relation_type", "tail", "confidence")
+    """Edges of the two-hop neighbourhood of each centre (column centre), with their hop; parallel first edges repeat the second hop.
+
+    Only the out-edges of centres, then of their neighbours, are ranked; the rest
+    of the graph is dropped by a semi-join before.
+    """
+    edges = relations.select("relation_id", "relation_type", "head", "tail", "confidence")
+    asked = centres.select("centre").distinct()
+    capped = ranked_edges(edges.join(asked.withColumnRenamed("centre", "head"), "head", "left_semi"), most)
+    hop1 = asked.join(capped, F.col("centre") == F.col("head")).select("centre", F.lit(1).alias("hop"), "rn", F.lit(0).alias("rn2"), "head", "relation_type", "tail", "confidence")
     middle = hop1.select("centre", F.col("rn").alias("rn1"), F.col("tail").alias("via"))
-    hop2 = middle.join(capped, F.col("via") == F.col("head"))
+    further = ranked_edges(edges.join(middle.select(F.col("via").alias("head")).distinct(), "head", "left_semi"), most)
+    hop2 = middle.join(further, F.col("via") == F.col("head"))
     hop2 = hop2.select("centre", F.lit(2).alias("hop"), F.col("rn1").alias("rn"), F.col("rn").alias("rn2"), "head", "relation_type", "tail", "confidence")
     return hop1.unionByName(hop2)
 

@@ -18,8 +18,7 @@ CLASSES = (("Person", ("Person", "Artist")), ("Genre", ("Genre",)), ("Organizati
 
 def read_dump(spark: SparkSession, paths: str | list[str], subjects: DataFrame | None = None) -> DataFrame:
     """Statements of text dumps (plain, .gz or splittable .bz2); bytes that are no UTF-8 become replacement characters."""
-    lines = spark.read.text(paths).withColumnRenamed("value", "value")
-    return parse_lines(lines, keep=[], subjects=subjects)
+    return parse_lines(spark.read.text(paths), keep=[], subjects=subjects)
 
 
 def unescaped(text: Column) -> Column:
@@ -39,8 +38,9 @@ def parse_lines(lines: DataFrame, *, keep: Sequence[str], subjects: DataFrame |
     """
     text = F.trim("value")
     rows = lines.where((text != "") & ~F.substring(text, 1, 1).isin("#", "@"))
-    part = lambda k: F.regexp_extract("value", STATEMENT, k)
-    rows = rows.select(*keep, F.col("value").rlike(STATEMENT).alias("ok"), part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
+    # one pass of the pattern: its parts are put together around a mark that no text holds, and split again
+    parts = F.split(F.regexp_replace("value", STATEMENT, "\u0002$1\u0002$2\u0002$3"), "\u0002")
+    rows = rows.select(*keep, parts.alias("parts")).select(*keep, (F.size("parts") == 4).alias("ok"), *[F.get("parts", F.lit(k)).alias(n) for k, n in ((1, "s"), (2, "p"), (3, "o"))])
     uri = F.startswith("o", F.lit("<"))
     whole = F.when(uri, F.regexp_replace("o", "^<|>$", "")).otherwise(unescaped(F.regexp_extract("o", r'(?s)^"(.*)"', 1)))
     ok = lambda c: F.when(F.col("ok"), c)
@@ -65,9 +65,9 @@ def route(quads: DataFrame) -> DataFrame:
     return quads.withColumn("kind", kind)
 
 
-def class_type(uri: Column) -> Column:
+def class_type(uri: Column, classes: tuple = CLASSES) -> Column:
     out = F.lit(None).cast("string")
-    for name, marks in reversed(CLASSES):
+    for name, marks in reversed(classes):
         hit = F.lit(False)
         for m in marks:
             hit = hit | F.contains(uri, F.lit(m))
@@ -75,16 +75,34 @@ def class_type(uri: Column) -> Column:
     return out
 
 
-def fold_entities(routed: DataFrame, default_type: str = "Movie") -> DataFrame:
+def fold_entities(routed: DataFrame, default_type: str = "Movie", classes: tuple = CLASSES) -> DataFrame:
     """One row per subject: the last name and class by ``seq``, the attribute map's size; without a name, the id with blanks."""
     name = F.max_by("object", F.when(F.col("kind") == "name", F.col("seq")))
-    known = class_type(F.col("object"))
+    known = class_type(F.col("object"), classes)
     kind = F.max_by(known, F.when((F.col("kind") == "type") & known.isNotNull(), F.col("seq")))
     attributes = F.count_distinct(F.when(F.col("kind").isin("attribute", "abstract"), F.col("property")))
     out = routed.groupBy("entity_id").agg(name.alias("n"), kind.alias("t"), attributes.alias("n_attributes"))
     return out.select("entity_id", F.coalesce("n", F.replace(F.col("entity_id"), F.lit("_"), F.lit(" "))).alias("name"), F.coalesce("t", F.lit(default_type)).alias("entity_type"), "n_attributes")
 
 
+# What each hop of the extraction reads, its default type and its classes.
+HOPS = (
+    (0, "Movie", ("name", "abstract", "attribute", "relation"), ()),
+    (1, "Resource", ("name", "abstract", "attribute", "type", "relation"), (("Person", ("Person", "Artist")), ("Genre", ("Genre",)), ("Organization", ("Company", "Organisation")))),
+    (2, "Resource", ("name", "type"), (("Person", ("Person",)), ("Place", ("Place", "Location")))),
+)
+
+
+def entities_by_hop(routed: DataFrame, reached: DataFrame) -> DataFrame:
+    """(entity_id, name, entity_type, n_attributes, hop) of the subjects of ``reached`` (entity_id, hop), each hop under its own routing."""
+    out = None
+    for hop, default, kinds, classes in HOPS:
+        rows = routed.where(F.col("kind").isin(*kinds)).join(reached.where(F.col("hop") == hop).select("entity_id"), "entity_id", "left_semi")
+        part = fold_entities(rows, default, classes).withColumn("hop", F.lit(hop).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def attribute_map(routed: DataFrame) -> DataFrame:
     """(entity_id, attributes): the last value per property; abstracts are cut to their most characters."""
     value = F.when(F.col("kind") == "abstract", F.substring("object", 1, MOST_ABSTRACT)).otherwise(F.col("object"))

@@ -140,6 +140,39 @@ def test_gae(spark):
     assert got[3] == 3.0
 
 
+def test_recurrence_over_many_parts(spark):
+    """One key over all parts, many small ones, resets and repeated orders of magnitude, against a plain loop."""
+    rng = random.Random(3)
+    rows = [("hot", i, rng.choice([0.0, 0.9, 0.5]), rng.random()) for i in range(3000)] + [(f"k{i % 40}", i, 0.9, 1.0) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, a double, b double").repartition(5)
+    got = {(r["k"], r["i"]): r["value"] for r in sequence.recurrence(df, ["k"], "i", F.col("a"), F.col("b")).collect()}
+    expected, x = {}, {}
+    for k, i, a, b in sorted(rows):
+        x[k] = a * x.get(k, 0.0) + b
+        expected[k, i] = x[k]
+    assert got.keys() == expected.keys()
+    assert all(math.isclose(got[k], expected[k], rel_tol=1e-9) for k in expected)
+    assert sequence.recurrence(df.limit(0), ["k"], "i", F.col("a"), F.col("b")).count() == 0
+
+
+def test_trailing_windows(spark):
+    df = sequence.numbered(spark.createDataFrame([(i, float(i)) for i in range(1, 61)], "i long, x double"), ["i"])
+    got = {r["i"]: r["m"] for r in sequence.trailing(df, 4, {"m": lambda w: F.max("x").over(w)}, chunk=7).collect()}
+    assert got == {i: (float(i - 1) if i > 1 else None) for i in range(1, 61)}
+
+
+def test_local_ids(spark):
+    from tesselkg.functions import ids
+
+    assert one(spark, ids.local_id(F.col("u")), u="http://kg.example/resource/AC/DC") == "AC/DC"
+    assert one(spark, ids.local_id(F.col("u")), u="http://kg.example/ontology/Film") == "Film"
+    assert one(spark, ids.local_id(F.col("u")), u="http://other.example/a/b") == "b"
+    assert one(spark, ids.curie(F.col("u")), u="http://www.w3.org/1999/02/22-rdf-syntax-ns#type") == "rdf:type"
+    assert one(spark, ids.curie(F.col("u")), u="http://www.w3.org/2000/01/rdf-schema#comment") == "rdfs:comment"
+    assert one(spark, ids.curie(F.col("u")), u="http://other.example/a/b") == "b"
+
+
 def test_connected_facts(spark):
     doc = "Connected subgraph analysis:\n\nSeed entities (1):\n  1. A (Movie) [relevance: 0.900, importance: 0.1000]\n\nConnected graph statistics:\n  Nodes: 1\n\nImportant relationships in connected graph:\n  • A director B [relevance: 0.5]"
     got = align.connected_facts(spark.createDataFrame([("d", doc), ("e", None)], "id string, doc string"), "id", "doc").collect()
