@@ -73,6 +73,19 @@ def aligned_text(facts: DataFrame, history: DataFrame, heading: str) -> DataFram
     return rows.select("id", F.concat(begin, F.lit(heading + "\n\n"), "body").alias("text"))
 
 
+def films_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, film_no, film, n_facts, first_fact) of aligned texts: numbered or bold lines name a film, bullets after it are its facts."""
+    rows = lines(docs, id_col, text_col)
+    heading = F.col("line").rlike(r"^(?:[1-5]\.|\*\*)")
+    rows = rows.withColumn("heading", heading).withColumn("film_no", F.sum(heading.cast("long")).over(Window.partitionBy("id").orderBy("no")))
+    name = F.trim(F.regexp_replace("line", r"[1-5]\.|\*\*|:", ""))
+    for mark in ("(Movie)", "(Resource)", "[score:"):
+        name = F.trim(F.substring_index(name, mark, 1))
+    fact = F.when(~F.col("heading") & F.col("line").rlike("^[-•]"), F.struct("no", F.trim(F.regexp_replace("line", "^[-•]+", "")).alias("t")))
+    rows = rows.where("film_no > 0").select("id", "film_no", F.when(F.col("heading"), name).alias("film"), fact.alias("f"))
+    return rows.groupBy("id", "film_no").agg(F.max("film").alias("film"), F.count("f").alias("n_facts"), F.min("f").alias("f")).select("id", "film_no", "film", "n_facts", F.col("f.t").alias("first_fact"))
+
+
 def alignment_confidence(text: Column, documents: Column, first_score: Column) -> Column:
     """Mean of coverage, length and the first document's score, within 0 and 1; 0 without text or documents."""
     mean = (F.least(F.lit(1.0), documents / 5.0) + F.least(F.lit(1.0), F.length(text) / 200.0) * 0.8 + 0.2 + F.coalesce(first_score, F.lit(0.5))) / 3

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselkg.functions import kg_text
-from tesselkg.functions.ids import canonical_id, short_predicate
+from tesselkg.functions.ids import canonical_id, curie, local_id, short_predicate
 from tesselkg.operators import kg
 from tesselkg.plans.training_sql import PLAIN_ID, SHORT
 from tesselkg.session import table
@@ -74,9 +74,10 @@ def kg_stats_top_relations(spark, d):
 
 
 def entity_lookup(spark, d):
-    """The entities of the stated set with their JSON decoded: number of attributes and aliases as stored lists."""
+    """The entities of the stated set with their JSON decoded: number of attributes, aliases of a JSON list (others count as none)."""
     e = entities(spark, d).join(seeds(spark, d), "entity_id", "left_semi")
-    return e.select("entity_id", "entity_type", "name", F.coalesce(F.size(F.json_object_keys("attributes")).cast("long"), F.lit(0)).alias("n_attributes"))
+    aliases = F.coalesce(F.from_json("aliases", "array<string>"), F.array().cast("array<string>"))
+    return e.select("entity_id", "entity_type", "name", F.coalesce(F.size(F.json_object_keys("attributes")).cast("long"), F.lit(0)).alias("n_attributes"), F.coalesce(F.size(aliases), F.lit(0)).cast("long").alias("n_aliases"), F.coalesce(F.get(aliases, F.lit(0)), F.lit("")).alias("first_alias"))
 
 
 def neighbors(spark, d):
@@ -131,11 +132,11 @@ def entity_short_text(spark, d):
 
 
 def uri_local_id(spark, d):
-    return table(spark, d, "triples").select("subject").distinct().select("subject", canonical_id(F.col("subject")).alias("local_id"))
+    return table(spark, d, "triples").select("subject").distinct().select("subject", local_id(F.col("subject")).alias("local_id"))
 
 
 def predicate_curie(spark, d):
-    return table(spark, d, "triples").select("predicate").distinct().select("predicate", short_predicate(F.col("predicate")).alias("curie"))
+    return table(spark, d, "triples").select("predicate").distinct().select("predicate", curie(F.col("predicate")).alias("curie"))
 
 
 def default_name(spark, d):
@@ -176,6 +177,23 @@ def subgraph_relation_groups(spark, d):
     return one.select("centre", "type_rank", "relation_type", (F.col("q") + 1).cast("long").alias("line"), F.col("x.text").alias("text"))
 
 
+def subgraph_entities_by_type(spark, d):
+    """The entities of each centre's two-hop subgraph by type: the first ten names, and how many more."""
+    ends = two_hop_subgraph(spark, d).select("centre", F.explode(F.array("head", "tail")).alias("entity_id")).distinct()
+    rows = ends.join(entities(spark, d).select("entity_id", "entity_type", "name"), "entity_id")
+    order = F.row_number().over(Window.partitionBy("centre", "entity_type").orderBy("entity_id"))
+    few = rows.withColumn("k", order).groupBy("centre", "entity_type").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("k", "name")))), lambda x: x["name"]), ", ").alias("names"), F.greatest(F.count(F.lit(1)) - 10, F.lit(0)).alias("more")
+    )
+    return few.select("centre", "entity_type", "names", "more")
+
+
+def seeds_in_subgraph(spark, d):
+    """Whether every entity of the stated set is a vertex of the graph around the set: the missing ones by anti-join."""
+    nodes = bfs_undirected(spark, d).select(F.explode(F.array("u", "v")).alias("entity_id")).distinct()
+    return seeds(spark, d).join(nodes, "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("n_missing"), (F.count(F.lit(1)) == 0).alias("subset"))
+
+
 # --- dumps
 
 
@@ -244,6 +262,18 @@ def extract_khop(spark, d):
     return rdf.hops(seeds(spark, d), extract_relations(spark, d), most_last=10_000).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
+def extract_by_hop(spark, d):
+    """The offline extraction with each hop's own routing: name, type and number of attributes of the entities described."""
+    reached = rdf.hops(seeds(spark, d), extract_relations(spark, d), most_last=10_000)
+    return rdf.entities_by_hop(rdf.route(_quads(spark, d)), reached)
+
+
+def extract_attributes(spark, d):
+    """The attribute map of each dump entity, one row per key: the last value, abstracts cut."""
+    rows = rdf.attribute_map(rdf.route(_quads(spark, d)))
+    return rows.select("entity_id", F.explode("attributes").alias("k", "v"))
+
+
 def mapping_scan(spark, d):
     lines = table(spark, d, "entities").select(F.col("row_id").alias("line_no"), F.concat_ws(",", F.col("row_id").cast("string"), F.concat(F.when(F.col("source") == "legacy_csv", F.lit("")).otherwise(F.lit("http://kg.example/resource/")), F.col("entity_id"))).alias("value"))
     return mapping.parse_mapping(lines, "item_id::string,URI::string", delimiter=",")
@@ -252,7 +282,7 @@ def mapping_scan(spark, d):
 QUERIES = {f.__name__: f for f in (
     entity_upsert, relation_upsert, kg_stats_entities_by_type, kg_stats_totals, kg_stats_top_relations, entity_lookup, neighbors, neighbors_typed, relation_semi_filter, unseen_tails_anti,
     triple_text_inner_join, triple_structured_text, relation_natural_language, entity_text, entity_short_text, uri_local_id, predicate_curie, default_name, two_hop_subgraph, two_hop_sizes,
-    bfs_radius2, bfs_undirected, subgraph_relation_groups, ntriples_parse, ntriples_error_count, ntriples_of_seeds, extract_routed, extract_entities, extract_relations, extract_khop, mapping_scan,
+    bfs_radius2, bfs_undirected, subgraph_relation_groups, ntriples_parse, ntriples_error_count, ntriples_of_seeds, extract_routed, extract_entities, extract_relations, extract_khop, extract_by_hop, extract_attributes, subgraph_entities_by_type, seeds_in_subgraph, mapping_scan,
 )}
 
 RANKED = f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY relation_id) AS rn FROM kgr) WHERE rn <= {MOST_NEIGHBOURS})"
@@ -272,6 +302,24 @@ def _description() -> str:
     return f"concat_ws('. ', entity_type || ': ' || name, 'Description: ' || {CUT.format(t=c, n=200)}, CASE {parts} END)"
 
 
+BARE = r"regexp_extract({c}, '^\s*<?\s*(.*?)\s*>?\s*$', 1)"
+REL = f"rel AS (SELECT DISTINCT entity_id AS head, {PLAIN_ID.format(c='object')} AS tail FROM routed WHERE kind = 'relation')"
+REACHED = """h1 AS (SELECT DISTINCT tail AS v FROM rel WHERE head IN (SELECT entity_id FROM seeds) AND tail NOT IN (SELECT entity_id FROM seeds)),
+h2 AS (SELECT DISTINCT tail AS v FROM rel WHERE head IN (SELECT v FROM h1) AND tail NOT IN (SELECT v FROM h1) AND tail NOT IN (SELECT entity_id FROM seeds) ORDER BY 1 LIMIT 10000),
+reached AS (SELECT entity_id, 0 AS hop FROM seeds UNION ALL SELECT v, 1 FROM h1 UNION ALL SELECT v, 2 FROM h2)"""
+
+
+def _hop_types(rules: tuple) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(object, '{m}')" for m in marks) + f" THEN '{name}'" for name, marks in rules) + " END" if rules else "NULL"
+
+
+BY_HOP = " UNION ALL ".join(
+    f"""SELECT entity_id, coalesce(arg_max(object, (loaded_at, row_id)) FILTER (kind = 'name'), replace(entity_id, '_', ' ')) AS name,
+  coalesce(arg_max(t, (loaded_at, row_id)) FILTER (kind = 'type' AND t IS NOT NULL), '{default}') AS entity_type, count(DISTINCT property) FILTER (kind IN ('attribute', 'abstract')) AS n_attributes, {hop}::bigint AS hop
+  FROM (SELECT *, {_hop_types(rules)} AS t FROM routed WHERE kind IN ({", ".join(f"'{k}'" for k in kinds)}) AND entity_id IN (SELECT entity_id FROM reached WHERE hop = {hop})) GROUP BY 1"""
+    for hop, default, kinds, rules in rdf.HOPS
+)
+
 STATEMENT = r'^<([^>]*)>\s+<([^>]*)>\s+(<[^>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^\S+)?)\s*\.\s*$'
 
 SQL = {
@@ -280,7 +328,8 @@ SQL = {
     "kg_stats_entities_by_type": _with(KGE) + "SELECT entity_type, count(*) AS n FROM kge GROUP BY 1",
     "kg_stats_totals": _with(KGE, KGR) + "SELECT 'entities' AS what, count(*) AS n FROM kge UNION ALL SELECT 'relations', count(*) FROM kgr",
     "kg_stats_top_relations": _with(KGR) + "SELECT relation_type, count(*) AS n FROM kgr GROUP BY 1 ORDER BY n DESC, relation_type LIMIT 20",
-    "entity_lookup": _with(KGE, SEEDS) + "SELECT entity_id, entity_type, name, CASE WHEN json_valid(attributes) THEN len(json_keys(attributes)) ELSE 0 END::bigint AS n_attributes FROM kge WHERE entity_id IN (SELECT entity_id FROM seeds)",
+    "entity_lookup": _with(KGE, SEEDS) + """SELECT entity_id, entity_type, name, CASE WHEN json_valid(attributes) THEN len(json_keys(attributes)) ELSE 0 END::bigint AS n_attributes, coalesce(json_array_length(a), 0)::bigint AS n_aliases, coalesce(a ->> '$[0]', '') AS first_alias
+      FROM (SELECT *, CASE WHEN json_valid(aliases) AND ltrim(aliases) LIKE '[%' THEN aliases END AS a FROM kge) WHERE entity_id IN (SELECT entity_id FROM seeds)""",
     "neighbors": _with(KGR, SEEDS) + "SELECT head AS entity_id, tail AS neighbor_id, relation_type, confidence FROM kgr WHERE head IN (SELECT entity_id FROM seeds)",
     "neighbors_typed": _with(KGR, SEEDS) + "SELECT head AS entity_id, tail AS neighbor_id, relation_type, confidence FROM kgr WHERE head IN (SELECT entity_id FROM seeds) AND relation_type = 'dbo:starring'",
     "relation_semi_filter": _with(KGE, KGR) + "SELECT relation_id, confidence FROM kgr WHERE head IN (SELECT entity_id FROM kge) AND tail IN (SELECT entity_id FROM kge)",
@@ -291,8 +340,11 @@ SQL = {
     "relation_natural_language": _with(KGR) + f"SELECT DISTINCT relation_type, {PHRASE.format(c='relation_type')} AS phrase FROM kgr",
     "entity_text": _with(KGE) + f"SELECT entity_id, {_description()} AS text FROM kge",
     "entity_short_text": _with(KGE) + "SELECT entity_id, entity_type || ': ' || name AS text FROM kge",
-    "uri_local_id": f"SELECT DISTINCT subject, {PLAIN_ID.format(c='subject')} AS local_id FROM triples",
-    "predicate_curie": f"SELECT DISTINCT predicate, {SHORT.format(c='predicate')} AS curie FROM triples",
+    "uri_local_id": f"""SELECT DISTINCT subject, CASE WHEN b LIKE 'http://kg.example/resource/%' OR NOT contains(b, '://') THEN {PLAIN_ID.format(c='subject')} WHEN b LIKE 'http://kg.example/property/%' THEN replace(b, 'http://kg.example/property/', '')
+      WHEN b LIKE 'http://kg.example/ontology/%' THEN replace(b, 'http://kg.example/ontology/', '') ELSE string_split(b, '/')[-1] END AS local_id FROM (SELECT subject, {BARE.format(c='subject')} AS b FROM triples)""",
+    "predicate_curie": f"""SELECT DISTINCT predicate, trim(CASE WHEN b LIKE 'http://kg.example/ontology/%' THEN replace(b, 'http://kg.example/ontology/', 'dbo:') WHEN b LIKE 'http://kg.example/property/%' THEN replace(b, 'http://kg.example/property/', 'dbp:')
+      WHEN b LIKE 'http://www.w3.org/1999/02/22-rdf-syntax-ns#%' THEN replace(b, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#', 'rdf:') WHEN b LIKE 'http://www.w3.org/2000/01/rdf-schema#%' THEN replace(b, 'http://www.w3.org/2000/01/rdf-schema#', 'rdfs:') ELSE string_split(b, '/')[-1] END) AS curie
+      FROM (SELECT predicate, {BARE.format(c='predicate')} AS b FROM triples)""",
     "default_name": _with(KGR) + "SELECT DISTINCT tail AS entity_id, replace(tail, '_', ' ') AS name FROM kgr",
     "two_hop_subgraph": _with(KGE, KGR, SEEDS, RANKED, HOPS) + "SELECT * FROM edges",
     "two_hop_sizes": _with(KGE, KGR, SEEDS, RANKED, HOPS) + """SELECT r.centre, r.n_relations, coalesce(e.n_entities, 0) AS n_entities FROM (SELECT centre, count(*) AS n_relations FROM edges GROUP BY 1) r
@@ -322,6 +374,12 @@ SQL = {
       h1 AS (SELECT DISTINCT tail AS v FROM rel WHERE head IN (SELECT entity_id FROM seeds) AND tail NOT IN (SELECT entity_id FROM seeds)),
       h2 AS (SELECT DISTINCT tail AS v FROM rel WHERE head IN (SELECT v FROM h1) AND tail NOT IN (SELECT v FROM h1) AND tail NOT IN (SELECT entity_id FROM seeds) ORDER BY 1 LIMIT 10000)
       SELECT 0 AS hop, count(*) AS n FROM seeds UNION ALL SELECT 1, count(*) FROM h1 HAVING count(*) > 0 UNION ALL SELECT 2, count(*) FROM h2 HAVING count(*) > 0""",
+    "extract_by_hop": _with(QUADS, SEEDS, REL, REACHED) + BY_HOP,
+    "extract_attributes": _with(QUADS) + """SELECT entity_id, k, arg_max(v, (loaded_at, row_id)) AS v FROM (
+      SELECT entity_id, loaded_at, row_id, CASE kind WHEN 'abstract' THEN 'abstract' ELSE property END AS k, CASE kind WHEN 'abstract' THEN left(object, 500) ELSE object END AS v FROM routed WHERE kind IN ('attribute', 'abstract')) GROUP BY 1, 2""",
+    "subgraph_entities_by_type": _with(KGE, KGR, SEEDS, RANKED, HOPS) + """SELECT centre, entity_type, string_agg(name, ', ' ORDER BY k) FILTER (k <= 10) AS names, greatest(count(*) - 10, 0) AS more FROM (
+      SELECT *, row_number() OVER (PARTITION BY centre, entity_type ORDER BY entity_id) AS k FROM (SELECT DISTINCT centre, unnest([head, tail]) AS entity_id FROM edges) JOIN kge USING (entity_id)) GROUP BY 1, 2""",
+    "seeds_in_subgraph": _with(KGR, SEEDS, BFS) + """SELECT count(*) AS n_missing, count(*) = 0 AS subset FROM seeds WHERE entity_id NOT IN (SELECT head FROM bfs WHERE head <> tail UNION SELECT tail FROM bfs WHERE head <> tail)""",
     "mapping_scan": """SELECT row_id::varchar AS item_id, 'http://kg.example/resource/' || entity_id AS uri FROM entities WHERE source <> 'legacy_csv' AND entity_id NOT LIKE '%,%'
       UNION ALL SELECT row_id::varchar, split_part('http://kg.example/resource/' || entity_id, ',', 1) FROM entities WHERE source <> 'legacy_csv' AND entity_id LIKE '%,%'""",
 }

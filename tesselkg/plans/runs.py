@@ -65,7 +65,8 @@ def option_prompt(spark, d):
     start = F.instr(q, F.lit("Watching history:"))
     history = F.when(start > 0, F.trim(F.regexp_replace(F.substring_index(F.substr(q, start), "Options:", 1), r"^\s+|\s+$", ""))).otherwise(F.substring(q, 1, prompts.MOST_HISTORY))
     rows = runs(spark, d).where("user_query is not null").select("result_id", history.alias("h")).join(listed, "result_id")
-    text = F.concat(F.lit("Based on the user's watching history, select the best movie from options A-T.\n\n"), "h", F.lit("\n\nOptions: "), "o", F.lit("\n\nAnswer with ONE letter (A-T): Analysis and Answer:"))
+    begin, middle, end = map(F.lit, prompts.OPTION_PROMPT)
+    text = F.concat(begin, "h", middle, "o", end)
     return rows.select("result_id", text.alias("prompt"))
 
 
@@ -74,7 +75,7 @@ def retrieval_types(spark, d):
 
 
 def text_quality_scores(spark, d):
-    """Confidence, diversity and quality of each document's text as a recommendation, for its title as the query and its note as knowledge."""
+    """Confidence, diversity and quality of each document's text as a recommendation, and its quality as an explanation, for its title as the query and title and note as knowledge."""
     docs = table(spark, d, "documents").where("text is not null and text != ''")
     rows = docs.select("doc_id", "text", prompts.words(F.col("text")).alias("w"), F.array_distinct(prompts.words(F.coalesce("title", F.lit("")))).alias("q"), F.array_distinct(prompts.words(F.concat_ws(" ", "title", "edit_note"))).alias("k"))
     rows = rows.withColumn("u", F.array_distinct("w"))
@@ -83,6 +84,7 @@ def text_quality_scores(spark, d):
         F.round(prompts.generation_confidence(F.col("text"), F.col("u"), F.col("k")), 6).alias("confidence"),
         F.round(prompts.diversity(F.col("text"), F.col("w"), F.col("u")), 6).alias("diversity"),
         F.round(prompts.quality(F.col("text"), F.col("u"), F.col("q")), 6).alias("quality"),
+        F.round(prompts.explanation_quality(F.col("text"), F.col("u"), F.col("k")), 6).alias("explanation"),
     )
 
 
@@ -163,26 +165,41 @@ def softmax_distribution(spark, d):
     return rows.select("result_id", "letter", F.round(F.col("e") / F.sum("e").over(per), 6).alias("p"))
 
 
+def _baselines(spark, d) -> DataFrame:
+    """(user_id, base_id): each user's newest run of expert 1, the baseline of their other runs."""
+    first = runs(spark, d).where((F.coalesce("selected_retriever_id", F.lit(1)) == 1) & F.col("user_id").isNotNull())
+    return first.groupBy("user_id").agg(F.max_by("result_id", F.struct("created_at", "result_id")).alias("base_id"))
+
+
 def kl_gain(spark, d):
-    """Information gain of the keyword distribution over the uniform one, per prompt (both clipped and normalised)."""
+    """Information gain of each run of experts 2 to 4 over its user's baseline run: the divergence of their distributions over the run's letters.
+
+    A letter that the baseline lacks counts 1/n there; both sides are normalised,
+    clipped and normalised again. Runs without a baseline have no row.
+    """
     eps = 1e-10
-    per = Window.partitionBy("result_id")
-    clip = lambda c: F.least(F.greatest(c, F.lit(eps)), F.lit(1.0))
-    rows = scored(spark, d).select("result_id", clip(F.col("p")).alias("p"), clip(1.0 / F.col("n")).alias("q"))
-    rows = rows.select("result_id", (F.col("p") / F.sum("p").over(per)).alias("p"), (F.col("q") / F.sum("q").over(per)).alias("q"))
+    per = Window.partitionBy("result_id")  # at most twenty letters
+    s = scored(spark, d)
+    own = runs(spark, d).where(F.coalesce("selected_retriever_id", F.lit(1)) != 1).select("result_id", "user_id").join(_baselines(spark, d), "user_id")
+    base = s.select(F.col("result_id").alias("base_id"), "letter", F.col("p").alias("q"))
+    rows = s.select("result_id", "letter", "p", "n").join(own, "result_id").join(base, ["base_id", "letter"], "left")
+    rows = rows.select("result_id", "p", F.coalesce("q", 1.0 / F.col("n")).alias("q"))
+    share = lambda c: F.col(c) / F.sum(c).over(per)
+    rows = rows.select("result_id", *[F.least(F.greatest(share(c), F.lit(eps)), F.lit(1.0)).alias(c) for c in ("p", "q")])
+    rows = rows.select("result_id", share("p").alias("p"), share("q").alias("q"))
     return rows.groupBy("result_id").agg(F.round(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))), 6).alias("gain"))
 
 
 def total_reward(spark, d):
-    """Recommendation reward plus weighted marginal gain less cost; no gain for the baseline expert; 0 for failures."""
+    """Recommendation reward plus weighted marginal gain less cost; no gain for the baseline expert or without a baseline run; 0 for failures."""
     truth = scored(spark, d).where("is_truth").select("result_id", F.col("letter").alias("truth"))
-    rows = runs(spark, d).join(truth, "result_id").join(kl_gain(spark, d), "result_id")
+    rows = runs(spark, d).join(truth, "result_id").join(kl_gain(spark, d), "result_id", "left")
     expert = F.coalesce("selected_retriever_id", F.lit(1))
     cost = F.lit(OTHER_COST)
     for k, c in COSTS.items():
         cost = F.when(expert == k, F.lit(c)).otherwise(cost)
     rec = F.when(F.coalesce("predicted_option", F.lit("A")) == F.col("truth"), F.coalesce("generation_confidence", F.lit(1.0))).otherwise(WRONG)
-    mig = F.when(expert == 1, 0.0).otherwise(F.col("gain") - ETA * cost)
+    mig = F.when((expert == 1) | F.col("gain").isNull(), 0.0).otherwise(F.col("gain") - ETA * cost)
     ok = F.coalesce("pipeline_success", F.lit(False))
     of = lambda c: F.round(F.when(ok, c).otherwise(0.0), 6)
     return rows.select("result_id", of(rec).alias("r_rec"), of(mig).alias("r_mig"), of(rec + LAMBDA * mig).alias("r_total"), of(rec - ETA * cost).alias("r_simple"))
@@ -252,9 +269,14 @@ def circular_batch(spark, d):
 
 
 def epoch_stats(spark, d):
-    """Per epoch of 100 runs: mean overall reward and success rate."""
+    """Per epoch of 100 runs: mean overall reward, success rate, accuracy at 1, 3 and 5 (a hit at 1 counts for all)."""
     n = sequence.numbered(agent_rewards(spark, d), ["result_id"]).withColumn("epoch", F.floor((F.col("rank") - 1) / 100).cast("long"))
-    return n.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 6).alias("avg_reward"), F.round(F.avg((F.col("overall") > -1).cast("double")), 6).alias("success_rate"))
+    truth = scored(spark, d).where("is_truth").select("result_id", F.col("letter").alias("truth"), F.col("rank").alias("place"))
+    said = runs(spark, d).select("result_id", F.coalesce("predicted_option", F.lit("A")).alias("said")).join(truth, "result_id", "left")
+    n = n.join(said, "result_id", "left")
+    top = F.coalesce(F.col("said") == F.col("truth"), F.lit(False))
+    hit = lambda k: F.round(F.avg((top | F.coalesce(F.col("place") <= k, F.lit(False))).cast("double")), 6).alias(f"top{max(k, 1)}")
+    return n.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 6).alias("avg_reward"), F.round(F.avg((F.col("overall") > -1).cast("double")), 6).alias("success_rate"), hit(0), hit(3), hit(5))
 
 
 def gae_advantages(spark, d):
@@ -279,11 +301,15 @@ def normalised_advantages(spark, d):
     return s.join(F.broadcast(m)).select("event_id", F.round(F.when(F.col("sd") > 1e-8, (F.col("reward") - F.col("m")) / (F.col("sd") + 1e-8)).otherwise(F.col("reward") - F.col("m")), 5).alias("z"))
 
 
+def ema_series(spark, d):
+    """The exponential baseline of each event type after every step, from 0: a tenth of the reward, nine tenths of the baseline before."""
+    out = sequence.recurrence(_steps(spark, d), ["event_type"], "event_id", F.lit(0.9), 0.1 * F.col("reward"))
+    return out.select("event_type", "event_id", F.round(F.col("value") + 1e-9, 6).alias("baseline"))
+
+
 def ema_baseline(spark, d):
-    """The exponential baseline after each event type's last step: weights fall below any double's precision beyond 400 steps."""
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("event_id")))
-    last = _steps(spark, d).withColumn("back", rank).where(F.col("back") <= 400)
-    return last.groupBy("event_type").agg(F.round(F.sum(0.1 * F.pow(F.lit(0.9), F.col("back") - 1) * F.col("reward")), 6).alias("baseline"))
+    """The baseline after each event type's last step."""
+    return ema_series(spark, d).groupBy("event_type").agg(F.max_by("baseline", "event_id").alias("baseline"))
 
 
 def epsilon_schedule(spark, d):
@@ -329,7 +355,7 @@ def query_state_vector(spark, d):
 QUERIES = {f.__name__: f for f in (
     options_parse, history_extract, answer_extract, option_mentions, option_prompt, retrieval_types, text_quality_scores, word_overlap, keyword_option_scores, topk_accuracy, expert_usage, expert_entropy,
     batch_evaluation, agent_rewards, softmax_distribution, kl_gain, total_reward, hard_negatives, preference_loss, moving_average, recent_performance, metrics_summary, train_test_split, circular_batch,
-    epoch_stats, gae_advantages, td_advantage, normalised_advantages, ema_baseline, epsilon_schedule, running_action_distribution, exploration_bonus, conversation_satisfaction, query_state_vector,
+    epoch_stats, gae_advantages, td_advantage, normalised_advantages, ema_series, ema_baseline, epsilon_schedule, running_action_distribution, exploration_bonus, conversation_satisfaction, query_state_vector,
 )}
 
 WORDS = r"list_filter(string_split_regex(lower({t}), '\s+'), lambda w: w <> '')"
@@ -337,10 +363,15 @@ ANY = lambda t, parts: "(" + " OR ".join(f"contains({t}, '{p}')" for p in parts)
 HITS = lambda t, parts: "(" + " + ".join(f"contains({t}, '{p}')::int" for p in parts) + ")"
 COST = "CASE coalesce(selected_retriever_id, 1) WHEN 1 THEN 0.0::double WHEN 2 THEN 0.1::double WHEN 3 THEN 0.2::double WHEN 4 THEN 0.3::double ELSE 0.5::double END"
 ALONE = "CASE " + " ".join(f"WHEN contains(u, ' {x} ') OR contains(u, ' {x}.') THEN '{x}'" for x in prompts.LETTERS) + " ELSE 'M' END"
-KL = "kl AS (SELECT result_id, round(sum(p * ln(p / q)), 6) AS gain FROM (SELECT result_id, p / sum(p) OVER (PARTITION BY result_id) AS p, q / sum(q) OVER (PARTITION BY result_id) AS q FROM (SELECT result_id, least(greatest(p, 1e-10), 1.0::double) AS p, 1.0::double / n AS q FROM scored)) GROUP BY 1)"
+KL = """base AS (SELECT user_id, arg_max(result_id, (created_at, result_id)) AS base_id FROM pipeline_result WHERE coalesce(selected_retriever_id, 1) = 1 AND user_id IS NOT NULL GROUP BY 1),
+kl0 AS (SELECT e.result_id, e.p, coalesce(b.p, 1.0::double / e.n) AS q FROM scored e JOIN pipeline_result r ON r.result_id = e.result_id AND coalesce(r.selected_retriever_id, 1) <> 1 JOIN base USING (user_id) LEFT JOIN scored b ON b.result_id = base_id AND b.letter = e.letter),
+kl1 AS (SELECT result_id, least(greatest(p / sum(p) OVER (PARTITION BY result_id), 1e-10), 1.0::double) AS p, least(greatest(q / sum(q) OVER (PARTITION BY result_id), 1e-10), 1.0::double) AS q FROM kl0),
+kl AS (SELECT result_id, round(sum(p * ln(p / q)), 6) AS gain FROM (SELECT result_id, p / sum(p) OVER (PARTITION BY result_id) AS p, q / sum(q) OVER (PARTITION BY result_id) AS q FROM kl1) GROUP BY 1)"""
 HARD = "hard AS (SELECT * FROM (SELECT result_id, letter, row_number() OVER (PARTITION BY result_id ORDER BY p DESC, letter) AS place FROM scored WHERE NOT is_truth) WHERE place <= 10)"
 REW = """rew AS (SELECT result_id, CASE WHEN pipeline_success THEN (a + r) / 2 ELSE -1.0::double END AS selector, CASE WHEN pipeline_success THEN a ELSE -1.0::double END AS aligner, CASE WHEN pipeline_success THEN r ELSE -1.0::double END AS recommender,
   CASE WHEN pipeline_success THEN ((a + r) / 2 + a + r) / 3 ELSE -1.0::double END AS overall FROM (SELECT *, coalesce(refinement_confidence, 0.0::double) AS a, (coalesce(generation_confidence, 0.0::double) + coalesce(diversity_score, 0.0::double) + coalesce(quality_score, 0.0::double)) / 3 AS r FROM pipeline_result))"""
+EMA = """, s AS (SELECT event_type, event_id, reward, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM steps),
+e AS (SELECT event_type, event_id, k, 0.1::double * reward AS b FROM s WHERE k = 1 UNION ALL SELECT s.event_type, s.event_id, s.k, 0.9::double * e.b + 0.1::double * s.reward FROM e JOIN s ON s.event_type = e.event_type AND s.k = e.k + 1) """
 ACT = "act AS (SELECT result_id, coalesce(selected_retriever_id, 1) AS action, row_number() OVER (ORDER BY result_id) AS rank FROM pipeline_result)"
 
 SQL = {
@@ -355,9 +386,10 @@ SQL = {
       JOIN (SELECT result_id, string_agg(letter || ':' || left(title, 30), ' ' ORDER BY letter) AS o FROM opt GROUP BY 1) USING (result_id)""",
     "retrieval_types": """SELECT CASE WHEN coalesce(text, '') = '' THEN 'direct' WHEN contains(text, 'Retrieved factual triples:') THEN 'triple' WHEN contains(text, 'relevant entities and their 2-hop subgraphs') THEN 'subgraph'
       WHEN contains(text, 'Connected subgraph') OR contains(text, 'Connected graph') THEN 'connected_graph' ELSE 'subgraph' END AS kind, count(*) AS n FROM documents GROUP BY 1""",
-    "text_quality_scores": f"""SELECT doc_id, round((least(1.0::double, length(text) / 300.0::double) * 0.8::double + 0.2::double + least(1.0::double, 2.0::double * len(list_intersect(u, k)) / greatest(len(u), 1)) + CASE WHEN {ANY('text', ('1.', '2.', '•', '-'))} THEN 0.8::double ELSE 0.4::double END) / 3, 6) AS confidence,
+    "text_quality_scores": f"""SELECT doc_id, CASE WHEN len(k) = 0 THEN 0.0::double ELSE round((least(1.0::double, length(text) / 300.0::double) * 0.8::double + 0.2::double + least(1.0::double, 2.0::double * len(list_intersect(u, k)) / greatest(len(u), 1)) + CASE WHEN {ANY('text', ('1.', '2.', '•', '-'))} THEN 0.8::double ELSE 0.4::double END) / 3, 6) END AS confidence,
       round((least(1.0::double, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[1-9]\\.'))) / 3.0::double) + len(u)::double / greatest(len(w), 1) + least(1.0::double, {HITS('lower(text)', prompts.THEMES)} / 3.0::double)) / 3, 6) AS diversity,
-      round((len(list_intersect(q, u))::double / greatest(len(q), 1) + CASE WHEN {ANY('lower(text)', prompts.REASONS)} THEN 0.8::double ELSE 0.4::double END + CASE WHEN {ANY('text', ('1.', '2.', '3.'))} THEN 0.8::double ELSE 0.3::double END) / 3, 6) AS quality
+      CASE WHEN len(q) = 0 THEN 0.0::double ELSE round((len(list_intersect(q, u))::double / greatest(len(q), 1) + CASE WHEN {ANY('lower(text)', prompts.REASONS)} THEN 0.8::double ELSE 0.4::double END + CASE WHEN {ANY('text', ('1.', '2.', '3.'))} THEN 0.8::double ELSE 0.3::double END) / 3, 6) END AS quality,
+      round((least(1.0::double, length(text) / 150.0::double) * 0.8::double + 0.2::double + least(1.0::double, 2.0::double * len(list_intersect(u, k)) / greatest(len(u), 1)) + least(1.0::double, {HITS('lower(text)', prompts.ANALYSIS)} / 3.0::double)) / 3, 6) AS explanation
       FROM (SELECT doc_id, text, {WORDS.format(t='text')} AS w, list_distinct({WORDS.format(t='text')}) AS u, list_distinct({WORDS.format(t="coalesce(title, '')")}) AS q, list_distinct({WORDS.format(t="concat_ws(' ', title, edit_note)")}) AS k FROM documents WHERE text <> '')""",
     "word_overlap": f"SELECT doc_id, len(list_intersect(list_distinct({WORDS.format(t='text')}), list_distinct({WORDS.format(t='title')}))) AS n FROM documents WHERE text IS NOT NULL AND title IS NOT NULL",
     "keyword_option_scores": _with(SCORED) + "SELECT result_id, letter, score, round(p, 6) AS p FROM scored",
@@ -373,8 +405,8 @@ SQL = {
     "softmax_distribution": _with(SCORED) + "SELECT result_id, letter, round(e / sum(e) OVER (PARTITION BY result_id), 6) AS p FROM (SELECT *, exp((score - max(score) OVER (PARTITION BY result_id))::double) AS e FROM scored)",
     "kl_gain": _with(SCORED, KL) + "SELECT result_id, gain FROM kl",
     "total_reward": _with(SCORED, KL) + f"""SELECT result_id, round(CASE WHEN ok THEN rec ELSE 0.0::double END, 6) AS r_rec, round(CASE WHEN ok THEN mig ELSE 0.0::double END, 6) AS r_mig, round(CASE WHEN ok THEN rec + 0.2::double * mig ELSE 0.0::double END, 6) AS r_total, round(CASE WHEN ok THEN rec - 0.005::double * cost ELSE 0.0::double END, 6) AS r_simple FROM (
-      SELECT result_id, coalesce(pipeline_success, false) AS ok, CASE WHEN coalesce(predicted_option, 'A') = letter THEN coalesce(generation_confidence, 1.0::double) ELSE -0.1::double END AS rec, CASE WHEN coalesce(selected_retriever_id, 1) = 1 THEN 0.0::double ELSE gain - 0.005::double * {COST} END AS mig, {COST} AS cost
-      FROM pipeline_result JOIN (SELECT result_id, letter FROM scored WHERE is_truth) USING (result_id) JOIN kl USING (result_id))""",
+      SELECT result_id, coalesce(pipeline_success, false) AS ok, CASE WHEN coalesce(predicted_option, 'A') = letter THEN coalesce(generation_confidence, 1.0::double) ELSE -0.1::double END AS rec, CASE WHEN coalesce(selected_retriever_id, 1) = 1 OR gain IS NULL THEN 0.0::double ELSE gain - 0.005::double * {COST} END AS mig, {COST} AS cost
+      FROM pipeline_result JOIN (SELECT result_id, letter FROM scored WHERE is_truth) USING (result_id) LEFT JOIN kl USING (result_id))""",
     "hard_negatives": _with(SCORED, HARD) + "SELECT * FROM hard",
     "preference_loss": _with(SCORED, HARD) + "SELECT round(avg(-ln(1 / (1 + exp(-0.1::double * (ln(w.p) - ln(l.p)))))), 6) AS loss, count(*) AS n FROM scored l JOIN hard USING (result_id, letter) JOIN scored w ON w.result_id = l.result_id AND w.is_truth",
     "moving_average": _with(STEPS) + "SELECT rank, round(CASE WHEN n < 50 THEN reward ELSE a END, 6) AS average FROM (SELECT reward, row_number() OVER o AS rank, count(*) OVER () AS n, avg(reward) OVER (ORDER BY event_id ROWS 49 PRECEDING) AS a FROM steps WINDOW o AS (ORDER BY event_id)) WHERE n < 50 OR rank >= 50",
@@ -383,13 +415,16 @@ SQL = {
     "train_test_split": "SELECT side, count(*) AS rows, min(result_id) AS first_id, max(result_id) AS last_id FROM (SELECT result_id, CASE WHEN row_number() OVER (ORDER BY result_id) <= floor(count(*) OVER () * 0.9::double) THEN 'train' ELSE 'test' END AS side FROM pipeline_result) GROUP BY 1",
     "circular_batch": """WITH r AS (SELECT result_id, row_number() OVER (ORDER BY result_id) AS rank, count(*) OVER () AS n FROM pipeline_result)
       SELECT result_id FROM r WHERE rank > 2100 % n AND rank <= 2100 % n + 300 UNION ALL SELECT result_id FROM r WHERE 2100 % n + 300 > n AND rank <= 2100 % n + 300 - n""",
-    "epoch_stats": _with(REW) + "SELECT epoch, count(*) AS n, round(avg(overall), 6) AS avg_reward, round(avg((overall > -1)::int), 6) AS success_rate FROM (SELECT round(overall, 6) AS overall, ((row_number() OVER (ORDER BY result_id) - 1) // 100)::bigint AS epoch FROM rew) GROUP BY 1",
+    "epoch_stats": _with(REW + ", " + SCORED) + """SELECT epoch, count(*) AS n, round(avg(overall), 6) AS avg_reward, round(avg((overall > -1)::int), 6) AS success_rate, round(avg(top::int), 6) AS top1, round(avg((top OR place <= 3)::int), 6) AS top3, round(avg((top OR place <= 5)::int), 6) AS top5 FROM (
+      SELECT round(overall, 6) AS overall, ((row_number() OVER (ORDER BY r.result_id) - 1) // 100)::bigint AS epoch, coalesce(coalesce(predicted_option, 'A') = t.letter, false) AS top, coalesce(t.rank, 99) AS place
+      FROM rew r JOIN pipeline_result p ON p.result_id = r.result_id LEFT JOIN (SELECT result_id, letter, rank FROM scored WHERE is_truth) t ON t.result_id = r.result_id) GROUP BY 1""",
     "gae_advantages": "WITH RECURSIVE " + STEPS + """, s AS (SELECT event_id, user_id, day, reward, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id DESC) AS k FROM steps),
       g AS (SELECT event_id, user_id, day, k, reward - 0.5::double AS a FROM s WHERE k = 1 UNION ALL SELECT s.event_id, s.user_id, s.day, s.k, s.reward + 0.99::double * 0.4::double - 0.5::double + 0.99::double * 0.95::double * g.a FROM g JOIN s ON s.user_id = g.user_id AND s.day = g.day AND s.k = g.k + 1)
       SELECT event_id, round(a + 1e-9::double, 6) AS advantage FROM g""",
     "td_advantage": _with(STEPS) + "SELECT event_id, round(t, 6) AS target, round(t - 0.5::double, 6) AS advantage FROM (SELECT event_id, reward + CASE WHEN success THEN 0.99::double * 0.4::double ELSE 0.0::double END AS t FROM steps)",
     "normalised_advantages": _with(STEPS) + "SELECT event_id, round(CASE WHEN sd > 1e-8 THEN (reward - m) / (sd + 1e-8) ELSE reward - m END, 5) AS z FROM steps, (SELECT avg(reward) AS m, stddev_samp(reward) AS sd FROM steps)",
-    "ema_baseline": _with(STEPS) + "SELECT event_type, round(sum(0.1::double * pow(0.9::double, back - 1) * reward), 6) AS baseline FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM steps) GROUP BY 1",
+    "ema_baseline": "WITH RECURSIVE " + STEPS + EMA + "SELECT event_type, arg_max(round(b + 1e-9::double, 6), k) AS baseline FROM e GROUP BY 1",
+    "ema_series": "WITH RECURSIVE " + STEPS + EMA + "SELECT event_type, event_id, round(b + 1e-9::double, 6) AS baseline FROM e",
     "epsilon_schedule": "SELECT result_id, round(greatest(0.1::double, 0.5::double * pow(0.9995::double, row_number() OVER (ORDER BY result_id))), 6) AS epsilon FROM pipeline_result",
     "running_action_distribution": _with(ACT) + "SELECT result_id, " + ", ".join(f"round(CASE WHEN rank = 1 THEN 0.25::double ELSE (count(*) FILTER (action = {k}) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::double / (rank - 1) END, 6) AS p{k}" for k in range(1, 5)) + " FROM act",
     "exploration_bonus": _with(ACT) + "SELECT result_id, round(0.2::double / sqrt((row_number() OVER (PARTITION BY action ORDER BY rank) + 1)::double), 6) AS bonus FROM act",
