@@ -52,12 +52,18 @@ def labelled_topk(spark, d):
 
 
 def triple_index(spark, d) -> DataFrame:
-    """(id, text, phrase, v): every triple between known entities, its sentence encoded; retrieval shows the plain form."""
-    rows = kgq._named(spark, d)
+    """(id, v): every triple between known entities, its sentence encoded."""
     text = kg_text.triple_sentence(F.col("head_name"), F.col("relation_type"), F.col("tail_name"))
-    plain = kg_text.triple_plain(F.col("head_name"), F.col("relation_type"), F.col("tail_name"))
-    rows = rows.select(F.col("relation_id").alias("id"), plain.alias("shown"), text.alias("text"))
-    return rows.select("id", "shown", vector.hashed_words(F.col("text")).alias("v")).where("v is not null")
+    return kgq._named(spark, d).select(F.col("relation_id").alias("id"), vector.hashed_words(text).alias("v")).where("v is not null")
+
+
+def _shown(spark, d, found: DataFrame) -> DataFrame:
+    """``found`` with the plain form of its triples (id), which retrieval shows: only those are named, and nothing is encoded again."""
+    ids = found.select("id").distinct()
+    few = kgq.relations(spark, d).join(ids.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi")
+    e = kgq.entities(spark, d).select("entity_id", "name")
+    few = few.join(e.select(F.col("entity_id").alias("head"), F.col("name").alias("hn")), "head").join(e.select(F.col("entity_id").alias("tail"), F.col("name").alias("tn")), "tail")
+    return found.join(few.select(F.col("relation_id").alias("id"), kg_text.triple_plain(F.col("hn"), F.col("relation_type"), F.col("tn")).alias("shown")), "id")
 
 
 def _asked(spark, d) -> DataFrame:
@@ -85,8 +91,7 @@ def _fixed(score: Column) -> Column:
 
 def _triples(spark, d, queries: DataFrame) -> DataFrame:
     """Expert 2 for each of ``queries`` (query_id, v): the retrieved triples as one text per query, and their mean score as confidence."""
-    shown = triple_index(spark, d).select("id", "shown")
-    rows = _nearest_triples(spark, d, queries).join(shown, "id").withColumn("line", F.concat(F.lit("• "), F.col("shown"), F.lit(" (score: "), _fixed(F.col("score")), F.lit(")")))
+    rows = _shown(spark, d, cut(_nearest_triples(spark, d, queries))).withColumn("line", F.concat(F.lit("• "), F.col("shown"), F.lit(" (score: "), _fixed(F.col("score")), F.lit(")")))
     return rows.groupBy("query_id").agg(
         F.concat(F.lit("Retrieved factual triples:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")).alias("knowledge"),
         F.round(F.avg("score"), 6).alias("confidence"),
@@ -281,9 +286,27 @@ def entity_vectors(spark, d) -> DataFrame:
     return text.select(F.col("entity_id").alias("id"), vector.hashed_words(F.col("text")).alias("v")).where("v is not null")
 
 
+EXPERTS = (1, 2, 3, 4)
+
+
+def checked_expert(expert_id: int) -> int:
+    """An expert's id, or an error naming the ids there are."""
+    if expert_id not in EXPERTS:
+        raise ValueError(f"no expert {expert_id!r}; there are {EXPERTS}")
+    return expert_id
+
+
+def entity_index_build(spark, d):
+    """The index of all entities: the places of each encoded description that are not zero."""
+    v = entity_vectors(spark, d).select("id", F.posexplode("v").alias("bucket", "x")).where("x > 0")
+    return v.select("id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 6).alias("x"))
+
+
 def all_experts_union(spark, d):
     """Each stored query of the stated set through its own expert (1 or none: direct, 2 triples, 3 subgraphs, 4 connected graph).
 
+    An id of no expert gives an empty result with an error instead of an answer.
+
     A document is a text that is not empty. A query without words finds nothing:
     no document, and no confidence unless it is direct.
     """
@@ -292,13 +315,14 @@ def all_experts_union(spark, d):
     entities = cut(entity_vectors(spark, d))
     of = lambda expert: asked.where(F.col("expert_id") == expert).select("query_id", "v")
     found = _triples(spark, d, of(2)).unionByName(_subgraphs(spark, d, of(3), entities)).unionByName(_connected(spark, d, of(4), entities))
-    direct = direct_retrieval(spark, d).join(asked.where("expert_id not in (2, 3, 4)").select("query_id"), "query_id", "left_semi")
+    direct = direct_retrieval(spark, d).join(asked.where("expert_id = 1").select("query_id"), "query_id", "left_semi")
     rows = asked.select("query_id", "expert_id").join(found.unionByName(direct), "query_id", "left")
-    return rows.select("query_id", "expert_id", F.coalesce(F.length("knowledge") > 0, F.lit(False)).cast("long").alias("n_documents"), "confidence")
+    error = F.when(~F.col("expert_id").isin(*EXPERTS), F.concat(F.lit("no expert "), F.col("expert_id").cast("string")))
+    return rows.select("query_id", "expert_id", F.coalesce(F.length("knowledge") > 0, F.lit(False)).cast("long").alias("n_documents"), F.when(error.isNotNull(), 0.0).otherwise(F.col("confidence")).alias("confidence"), error.alias("error"))
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, labelled_topk, query_encoding, triple_topk, triple_retrieval, subgraph_retrieval, ppr_fixed_iters, mst_edges, mst_weight, steiner_subtree, connected_retrieval, direct_retrieval, expert_descriptors, all_experts_union,
+    vector_topk, labelled_topk, query_encoding, triple_topk, triple_retrieval, subgraph_retrieval, ppr_fixed_iters, mst_edges, mst_weight, steiner_subtree, connected_retrieval, direct_retrieval, expert_descriptors, entity_index_build, all_experts_union,
 )}
 
 SQL = {
@@ -314,6 +338,5 @@ SQL = {
     "ppr_fixed_iters": _ppr_sql(),
     "direct_retrieval": _with(ASKED) + "SELECT query_id, '' AS knowledge, 1.0::double AS confidence FROM asked",
     "expert_descriptors": "SELECT * FROM (VALUES (1::int, 'direct'), (2::int, 'triple'), (3::int, 'subgraph'), (4::int, 'connected_graph')) AS v(expert_id, expert_name)",
-    "all_experts_union": _with(KGE, KGR, NAMED, TRIPLES, ASKED, TTOP) + """SELECT p.result_id::varchar AS query_id, coalesce(p.selected_retriever_id, 1) AS expert_id, CASE WHEN p.selected_retriever_id = 2 THEN 1 ELSE 0 END::bigint AS n_documents,
-      CASE WHEN p.selected_retriever_id = 2 THEN round((SELECT avg(score) FROM ttop WHERE query_id = p.result_id::varchar), 6) ELSE 1.0::double END AS confidence FROM pipeline_result p WHERE p.result_id % 100 = 0 AND p.user_query IS NOT NULL""",
+    "entity_index_build": _with(KGE, f"told AS (SELECT entity_id, {kgq._description()} AS text FROM kge)") + f"SELECT id, bucket, round(x, 6) AS x FROM ({BAG.format(id='entity_id', text='text', src='told')})",
 }

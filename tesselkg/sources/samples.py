@@ -17,11 +17,12 @@ WISHES = ("for a quiet evening", "with a good score", "by a famous director", "s
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a JSON array (or object) with their place as sample_idx; a missing file gives no rows."""
+    """Samples of a JSON array (or a single object, as one row) with their place as sample_idx; a missing file text that is no JSON and samples without any part give no rows."""
     try:
         rows = spark.read.schema(SAMPLE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     except AnalysisException:
         rows = spark.createDataFrame([], SAMPLE)
+    rows = rows.where(F.coalesce("input", "questions", "output", "sequence_ids").isNotNull())
     return rows.select(F.monotonically_increasing_id().alias("sample_idx"), "*")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesselkg.functions import kg_text, prompts
 from tesselkg.operators import align, graph, kg, sequence, vector
-from tesselkg.sources import config, mapping, rdf, samples
+from tesselkg.sources import config, mapping, rdf, samples, store
 
 
 def one(spark, column, **values):
@@ -194,3 +194,49 @@ def test_samples(spark, tmp_path):
     row = samples.normalise(loose).first()
     assert (row["query"], row["options"], row["ground_truth"]) == ("q", {"A": "x", "B": "y"}, "A")
     assert samples.generate(spark, 20, seed=1).count() == 20
+    path.write_text('{"input": "one", "output": "B"}')
+    assert [r["input"] for r in samples.read_samples(spark, str(path)).collect()] == ["one"]
+    path.write_text("no json at all")
+    assert samples.read_samples(spark, str(path)).count() == 0
+
+
+def test_stored_graph_and_index(spark, tmp_path):
+    entity = lambda rows: spark.createDataFrame(rows, store.ENTITY)
+    relation = lambda rows: spark.createDataFrame(rows, store.RELATION)
+    path = str(tmp_path / "graph")
+    assert [x.count() for x in store.load_graph(spark, path)] == [0, 0]
+    store.save_graph(entity([("a", "T", "A", "{}", "[]"), ("b", "T", "B", "{}", "[]")]), relation([("a_r_b", "r", "a", "b", 1.0)]), path)
+    store.upsert_graph(entity([("a", "T", "A2", "{}", "[]"), ("c", "T", "C", "{}", "[]")]), relation([("a_r_b", "r", "a", "b", 0.5)]), path)
+    entities, relations = store.load_graph(spark, path)
+    assert {r["entity_id"]: r["name"] for r in entities.collect()} == {"a": "A2", "b": "B", "c": "C"}
+    assert [r["confidence"] for r in relations.collect()] == [0.5]
+    store.save_graph(entity([]), relation([]), path)  # the graph emptied
+    assert [x.count() for x in store.load_graph(spark, path)] == [0, 0]
+    stats = store.save_index(spark.createDataFrame([("a", [1.0, 0.0])], "id string, v array<double>"), str(tmp_path / "index"), "hashed").first()
+    assert (stats["n_vectors"], stats["dimensions"], stats["model"]) == (1, 2, "hashed")
+
+
+def test_logs_reports_and_sizes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5)], "episode int, reward double")
+    for _ in range(2):
+        store.append_metrics(rows, str(tmp_path / "log"))
+    logged = spark.read.json(str(tmp_path / "log"))
+    assert logged.count() == 2 and logged.where("timestamp is null").count() == 0
+    assert store.write_report(rows, str(tmp_path / "report.json")) == {"episode": 1, "reward": 0.5}
+    with pytest.raises(ValueError, match="one row"):
+        store.write_report(rows.limit(0), str(tmp_path / "none.json"))
+    (tmp_path / "dumps").mkdir()
+    (tmp_path / "dumps" / "a.nt").write_text("x" * 100)
+    assert [tuple(r) for r in store.file_sizes(spark, str(tmp_path / "dumps")).collect()] == [("a.nt", 0.0, 0.0)]
+
+
+def test_dump_files(spark, tmp_path):
+    import bz2
+
+    (tmp_path / "x.nt.bz2").write_bytes(bz2.compress('<s> <p> "a"@en .\n# c\n<t> <p> <o> .\nbroken\n'.encode()))
+    got = rdf.read_dump(spark, str(tmp_path / "x.nt.bz2")).collect()
+    assert sorted((r["subject"], r["object"]) for r in got if r["ok"]) == [("s", "a"), ("t", "o")]
+    wanted = spark.createDataFrame([("t",)], "subject string")
+    assert [r["object"] for r in rdf.read_dump(spark, str(tmp_path / "x.nt.bz2"), wanted).collect()] == ["o"]
+    (tmp_path / "m.tsv").write_text("item_id\turi\n1\thttp://a\n2\tftp\n1\thttp://b\n")
+    assert [tuple(r) for r in mapping.read_mapping(spark, str(tmp_path / "m.tsv")).collect()] == [("1", "http://b")]

@@ -40,7 +40,7 @@ def test_connected_retrieval_per_query(spark, tables):
 
 
 def test_router_runs_every_expert(spark, tables):
-    query, rows = "a0 b0 movie", [(100, 1), (200, 2), (300, 3), (400, 4), (500, None), (301, 3)]
+    query, rows = "a0 b0 movie", [(100, 1), (200, 2), (300, 3), (400, 4), (500, None), (301, 3), (800, 9)]
     made = spark.createDataFrame([(i, query, e) for i, e in rows] + [(600, "", 3), (700, None, 4)], "result_id long, user_query string, selected_retriever_id int")
     made.write.parquet(f"{tables}/pipeline_result.parquet")
     got = {r["query_id"]: (r["expert_id"], r["n_documents"], r["confidence"]) for r in retrieval.all_experts_union(spark, tables).collect()}
@@ -51,4 +51,7 @@ def test_router_runs_every_expert(spark, tables):
     assert got["200"][:2] == (2, 1)
     assert got["300"] == (3, 1, mean) and got["400"] == (4, 1, mean) and mean != 1.0
     assert got["600"] == (3, 0, None)
-    assert got.keys() == {"100", "200", "300", "400", "500", "600"}
+    assert got.keys() == {"100", "200", "300", "400", "500", "600", "800"}
+    assert got["800"] == (9, 0, 0.0)
+    with pytest.raises(ValueError, match="no expert 9"):
+        retrieval.checked_expert(9)
