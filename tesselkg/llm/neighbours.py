@@ -35,7 +35,7 @@ SAMPLE, FAN, TURNS = 16_384, 512, 4
 #: Vectors that one task routes at a time, and rows of the table of crowded cells that may be broadcast.
 BLOCK, MOST_CELLS = 50_000, 100_000
 #: Out-edges after pruning and at most; beam width when a vector is inserted and when it asks; relaxation of the pruning; vectors searched at a time; vectors expanded per step.
-DEGREE, FULL, BEAM, ASK_BEAM, RELAX, BATCH, STEP = 12, 20, 16, 16, 1.2, 512, 4
+DEGREE, FULL, BEAM, ASK_BEAM, RELAX, BATCH, STEP = 12, 20, 16, 12, 1.2, 512, 4
 
 
 def unit_rows(vectors: list) -> np.ndarray:
