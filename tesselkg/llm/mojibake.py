@@ -158,16 +158,25 @@ def label(text: str, model: Model) -> tuple[str, bool]:
     return "".join(reversed(out)), bad
 
 
+def _byte_chars(decoding: str, first: int, last: int) -> frozenset[str]:
+    return frozenset(wrong(bytes([b]), decoding, False) for b in range(first, last + 1))
+
+
+#: Of each single decoding of UTF-8: its number, the characters that a leading and a following byte look like, and its name.
+SINGLE = tuple((k, _byte_chars(d[0], 0xC2, 0xF4), _byte_chars(d[0], 0x80, 0xBF), d[0]) for k, (true, d) in enumerate(PAIRS) if true == "utf-8" and len(d) == 1)
+
+
 def _generic(text: str, i: int) -> Iterator[tuple[int, int, str]]:
     """Units of characters outside the alphabet: two to four characters whose bytes are one UTF-8 character."""
-    for k, (true, decodings) in enumerate(PAIRS):
-        if true != "utf-8" or len(decodings) > 1:
+    first, second = text[i], text[i + 1 : i + 2]
+    for k, leading, following, decoding in SINGLE:
+        if first not in leading or second not in following:
             continue
         for length in (2, 3, 4):
             part = text[i : i + length]
             if len(part) < length:
                 break
-            u = _one(part, decodings[0])
+            u = _one(part, decoding)
             if u:
                 yield k, length, u
 
