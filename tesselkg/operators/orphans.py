@@ -5,7 +5,8 @@ range are kept as sorted arrays of (key, live from, running end of life); the
 references of that range are probed against them in vectorised batches by
 binary search. A range whose references exceed the batch size is salted, and
 the (small) parent arrays are repeated for each salt, so one parent that owns a
-third of all references never lands in one task.
+third of all references never lands in one task. Versions of a parent are merged
+on the map side first, so a parent that was loaded very often stays a few rows.
 """
 
 from __future__ import annotations
@@ -82,6 +83,8 @@ def orphan_references(
     asked = refs.where(F.col("id").isNotNull()).select(
         "row_id", "side", *keyed(F.col("id")), F.coalesce(micros(F.col("at").cast("timestamp")), F.lit(FOREVER - 1)).alias("at")
     )
+    # versions of one parent are put together before they move: those that never end make one, from the first of them on; the others one per beginning
+    held = held.groupBy("k1", "k2", F.when(F.col("until") < F.lit(FOREVER), F.col("since")).alias("begun")).agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("begun")
     ranges, n = 64, parents.count()  # answered from the Parquet footers
     while ranges * per_range < n:
         ranges *= 2

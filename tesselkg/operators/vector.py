@@ -57,7 +57,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         return held.mapInPandas(best, "query_id string, id string, score double")
 
     for row in asked:
-        block.append((row["query_id"], row["v"]))
+        block.append((row["query_id"], np.asarray(row["v"])))
         if len(block) == QUERY_BLOCK:
             out, block = out.unionByName(against(block)), []
     if block:

@@ -136,6 +136,22 @@ def text_option_distribution(spark, d):
     return rows.select("result_id", "letter", F.round(F.col("e") / F.sum("e").over(per), 6).alias("p"))
 
 
+def semantic_gain(spark, d):
+    """The gain where no distributions are stored: of the run's text over its baseline run's, both compared with the run's options under the hashed encoder."""
+    eps = 1e-10
+    per = Window.partitionBy("result_id")  # at most twenty letters
+    dot = lambda h: F.coalesce(F.aggregate(F.zip_with(h, "v", lambda a, b: a * b), F.lit(0.0).cast("double"), lambda s, x: s + x), F.lit(0.0))
+    said = runs.runs(spark, d).select("result_id", vector.hashed_words(prompts.history_text(F.col("user_query"))).alias("h"))
+    own = runs.runs(spark, d).where(F.coalesce("selected_retriever_id", F.lit(1)) != 1).select("result_id", "user_id").join(runs._baselines(spark, d), "user_id")
+    both = own.join(said, "result_id").join(said.select(F.col("result_id").alias("base_id"), F.col("h").alias("g")), "base_id")
+    rows = runs.options(spark, d).select("result_id", "letter", vector.hashed_words(F.col("title")).alias("v")).join(both, "result_id")
+    rows = rows.select("result_id", dot("h").alias("p"), dot("g").alias("q"))
+    soft = lambda c: F.exp(F.col(c) - F.max(c).over(per)).alias(c)
+    share = lambda c: F.least(F.greatest(F.col(c) / F.sum(c).over(per), F.lit(eps)), F.lit(1.0)).alias(c)
+    rows = rows.select("result_id", soft("p"), soft("q")).select("result_id", share("p"), share("q")).select("result_id", share("p"), share("q"))
+    return rows.groupBy("result_id").agg(F.round(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))), 6).alias("gain"))
+
+
 def best_option(spark, d):
     """The likeliest option of each prompt and its probability; ties go to the earlier letter."""
     return runs.scored(spark, d).groupBy("result_id").agg(F.max_by("letter", F.struct(F.round("p", 9), -F.ascii("letter"))).alias("letter"), F.round(F.max("p"), 6).alias("p"))
@@ -221,7 +237,7 @@ def selector_state(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    answer_of_run, option_of_generation, sample_preprocess, recent_turns, alignment_prompts, template_explanation, explanation_prompts, recommendation_prompts, mention_words, text_option_distribution,
+    answer_of_run, option_of_generation, sample_preprocess, recent_turns, alignment_prompts, template_explanation, explanation_prompts, recommendation_prompts, mention_words, text_option_distribution, semantic_gain,
     best_option, valid_experiences, mini_batches, sample_rows, dataset_sizes, agent_trailing, running_rewards, epsilon_greedy, selector_state,
 )}
 
@@ -274,6 +290,12 @@ SQL = {
     "text_option_distribution": _with(OPTS, "named AS (SELECT result_id || '_' || letter AS oid, result_id, letter, title FROM opt)", f"said AS (SELECT result_id::varchar AS rid, {HIST} AS h FROM pipeline_result)", f"tv AS ({BAG.format(id='oid', text='title', src='named')})", f"hv AS ({BAG.format(id='rid', text='h', src='said')})",
         "sims AS (SELECT n.result_id, n.letter, coalesce(sum(tv.x * hv.x), 0.0::double) AS s FROM named n LEFT JOIN tv ON tv.id = n.oid LEFT JOIN hv ON hv.id = n.result_id::varchar AND hv.bucket = tv.bucket GROUP BY 1, 2)", "ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY result_id)) AS e FROM sims)")
     + "SELECT result_id, letter, round(e / sum(e) OVER (PARTITION BY result_id), 6) AS p FROM ex",
+    "semantic_gain": _with(OPTS, "named AS (SELECT result_id || '_' || letter AS oid, result_id, letter, title FROM opt)", f"said AS (SELECT result_id::varchar AS rid, {HIST} AS h FROM pipeline_result)", f"tv AS ({BAG.format(id='oid', text='title', src='named')})", f"hv AS ({BAG.format(id='rid', text='h', src='said')})",
+        "base AS (SELECT user_id, arg_max(result_id, (created_at, result_id)) AS base_id FROM pipeline_result WHERE coalesce(selected_retriever_id, 1) = 1 AND user_id IS NOT NULL GROUP BY 1)",
+        "own AS (SELECT result_id, base_id FROM pipeline_result JOIN base USING (user_id) WHERE coalesce(selected_retriever_id, 1) <> 1)",
+        "sims AS (SELECT n.result_id, n.letter, coalesce(sum(tv.x * a.x), 0.0::double) AS p, coalesce(sum(tv.x * b.x), 0.0::double) AS q FROM own JOIN named n USING (result_id) LEFT JOIN tv ON tv.id = n.oid LEFT JOIN hv a ON a.id = n.result_id::varchar AND a.bucket = tv.bucket LEFT JOIN hv b ON b.id = base_id::varchar AND b.bucket = tv.bucket GROUP BY 1, 2)",
+        "ex AS (SELECT result_id, exp(p - max(p) OVER w) AS p, exp(q - max(q) OVER w) AS q FROM sims WINDOW w AS (PARTITION BY result_id))", "nx AS (SELECT result_id, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM ex WINDOW w AS (PARTITION BY result_id))")
+    + "SELECT result_id, round(sum(p * ln(p / q)), 6) AS gain FROM nx GROUP BY 1",
     "best_option": _with(SCORED) + "SELECT result_id, letter, round(p, 6) AS p FROM scored WHERE rank = 1",
     "valid_experiences": "SELECT result_id FROM pipeline_result WHERE coalesce(user_query, '') <> '' AND length(trim(coalesce(predicted_option, ''))) > 0",
     "mini_batches": f"SELECT result_id, ((row_number() OVER (ORDER BY md5(result_id::varchar), result_id) - 1) // {BATCH})::bigint AS batch FROM pipeline_result",

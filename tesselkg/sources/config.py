@@ -34,3 +34,27 @@ def merge(base: dict, over: dict) -> dict:
     for k, v in over.items():
         out[k] = merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def apply_preset(tree: dict, presets: dict, path: str, name: str) -> dict:
+    """The tree with the named preset under ``path`` (dots between keys); what the tree says itself wins."""
+    if name not in presets:
+        raise ValueError(f"no preset {name!r}; there are {sorted(presets)}")
+    inner = presets[name]
+    for key in reversed(path.split(".")):
+        inner = {key: inner}
+    return merge(inner, tree)
+
+
+def validate(tree: dict, required: dict[str, type | tuple[type, ...]]) -> list[str]:
+    """What is missing or of another type, one message per dotted path; none for a valid tree."""
+    faults = []
+    for path, kind in required.items():
+        at = tree
+        for key in path.split("."):
+            at = at.get(key) if isinstance(at, dict) else None
+        if at is None:
+            faults.append(f"{path} is missing")
+        elif not isinstance(at, kind) or (isinstance(at, bool) and kind is not bool):
+            faults.append(f"{path} is a {type(at).__name__}")
+    return faults

@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tesselkg.functions.prompts import mentions
+
 SAMPLE = "input string, questions string, output string, sequence_ids string"
 # Names under which samples carry their parts, the first that is there holds.
 QUERY, TRUTH = ("query", "input", "question"), ("answer", "label", "ground_truth")
-# Vocabularies of the generator.
+#: Words of the generator.
 KINDS = ("comedy", "drama", "thriller", "documentary", "western")
 WISHES = ("for a quiet evening", "with a good score", "by a famous director", "set by the sea")
+FORMS = ("Recommend a {kind} {wish}", "Which {kind} {wish} should I see?", "I would like a {kind} {wish}", "Suggest something {wish}, maybe a {kind}")
+USERS = ("newcomer", "regular", "collector", "critic", "family")
+MOODS = ("curious", "tired", "in a hurry", "open to anything")
+FOLLOW_UPS = ("And one more like {mention}?", "Why {mention}?", "Something other than {mention}, please, {wish}")
+PRODUCTS = tuple(f"{size} {thing}" for size in ("small", "large", "old", "new") for thing in ("camera", "projector", "screen", "poster", "record"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -42,9 +49,32 @@ def normalise(rows: DataFrame) -> DataFrame:
     return rows.select(_first(rows, QUERY, F.lit("")).alias("query"), F.coalesce(*options, lettered, empty).alias("options"), _first(rows, TRUTH, F.lit(None).cast("string")).alias("ground_truth"), context.alias("user_context"))
 
 
+def _pick(words: tuple[str, ...], seed: int, salt: int) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+
+
+def _put(form: Column, **values: Column) -> Column:
+    for name, value in values.items():
+        form = F.replace(form, F.lit("{" + name + "}"), value)
+    return form
+
+
 def generate(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """``n`` synthetic samples (sample_idx, query, user_type): texts by hash, user types in turn."""
-    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(len(words))) + 1).cast("int"))
-    rows = spark.range(n)
-    kinds = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("id") % len(KINDS) + 1).cast("int"))
-    return rows.select(F.col("id").alias("sample_idx"), F.concat(F.lit("Recommend a "), pick(KINDS, 1), F.lit(" "), pick(WISHES, 2)).alias("query"), kinds.alias("user_type"))
+    """``n`` synthetic samples (sample_idx, query, user_type, mood): texts by hash, user types in turn."""
+    query = _put(_pick(FORMS, seed, 0), kind=_pick(KINDS, seed, 1), wish=_pick(WISHES, seed, 2))
+    user = F.element_at(F.array(*map(F.lit, USERS)), (F.col("id") % len(USERS) + 1).cast("int"))
+    return spark.range(n).select(F.col("id").alias("sample_idx"), query.alias("query"), user.alias("user_type"), _pick(MOODS, seed, 3).alias("mood"))
+
+
+def follow_ups(samples: DataFrame, seed: int = 0) -> DataFrame:
+    """(sample_idx, follow_up): a question after each sample about its first long word, 'that' where it has none."""
+    rows = samples.select(F.col("sample_idx").alias("id"), mentions(F.col("query")).alias("m"))
+    return rows.select(F.col("id").alias("sample_idx"), _put(_pick(FOLLOW_UPS, seed, 4), mention=F.coalesce(F.get("m", F.lit(0)), F.lit("that")), wish=_pick(WISHES, seed, 5)).alias("follow_up"))
+
+
+def generate_documents(spark: SparkSession, each: int = 5) -> DataFrame:
+    """(doc_id, product, text): ``each`` documents of every product."""
+    n = len(PRODUCTS)
+    product = F.element_at(F.array(*map(F.lit, PRODUCTS)), (F.col("id") % n + 1).cast("int"))
+    number = F.floor(F.col("id") / n) + 1
+    return spark.range(n * each).select(F.col("id").alias("doc_id"), product.alias("product"), F.concat(F.lit("Review "), number.cast("string"), F.lit(" of the "), product, F.lit(".")).alias("text"))

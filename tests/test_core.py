@@ -181,6 +181,10 @@ def test_connected_facts(spark):
 
 def test_config(tmp_path):
     assert config.merge({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 3}, "d": {"e": 1}}) == {"a": {"b": 3, "c": 2}, "d": {"e": 1}}
+    assert config.apply_preset({"llm": {"size": 1}}, {"small": {"size": 2, "name": "s"}}, "llm", "small") == {"llm": {"size": 1, "name": "s"}}
+    with pytest.raises(ValueError, match="no preset"):
+        config.apply_preset({}, {}, "llm", "small")
+    assert config.validate({"a": {"b": 1}, "c": True}, {"a.b": int, "a.x": str, "c": int}) == ["a.x is missing", "c is a bool"]
     config.save({"a": 1}, str(tmp_path / "x.json"))
     assert config.load(str(tmp_path / "x.json")) == {"a": 1}
 
@@ -193,7 +197,12 @@ def test_samples(spark, tmp_path):
     loose = spark.createDataFrame([(None, "q", ["x", "y"], "A")], "query string, input string, choices array<string>, label string")
     row = samples.normalise(loose).first()
     assert (row["query"], row["options"], row["ground_truth"]) == ("q", {"A": "x", "B": "y"}, "A")
-    assert samples.generate(spark, 20, seed=1).count() == 20
+    made = samples.generate(spark, 20, seed=1)
+    assert made.collect() == samples.generate(spark, 20, seed=1).collect()
+    assert made.groupBy("user_type").count().where("count = 4").count() == len(samples.USERS)
+    assert not [r for r in made.collect() if "{" in r["query"]]
+    assert not [r for r in samples.follow_ups(made).collect() if "{" in r["follow_up"]]
+    assert samples.generate_documents(spark).groupBy("product").count().where("count = 5").count() == 20
     path.write_text('{"input": "one", "output": "B"}')
     assert [r["input"] for r in samples.read_samples(spark, str(path)).collect()] == ["one"]
     path.write_text("no json at all")

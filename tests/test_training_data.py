@@ -126,6 +126,9 @@ def test_orphans(spark):
     assert run(parents) == expected
     assert run(parents, per_batch=1) == expected  # every range is salted
     assert {r for _, r in run(parents.limit(0))} == {"missing"}
+    # a parent loaded over and over gives the same answers as its merged form
+    often = parents.unionByName(spark.createDataFrame([("a", T(8), None), ("a", T(9), None), ("a", T(2), T(4)), ("b", T(4), T(5))] * 50, "id string, since timestamp, until timestamp"))
+    assert run(often) == expected
 
 
 @pytest.mark.parametrize(
