@@ -59,6 +59,12 @@ SELECT entity_id,
 FROM won
 GROUP BY entity_id"""
 
+P2_SCHEMA = f"""WITH {STATEMENTS}, fed AS (SELECT attr, min(attr_type) AS declared FROM attribute_columns GROUP BY 1),
+known AS (SELECT attr, t FROM bare JOIN (SELECT DISTINCT predicate, attr FROM attribute_columns) USING (predicate) WHERE lower(t) NOT IN ('', '-', '?', 'n/a', 'tba', 'unknown', 'to be confirmed', 'see notes')),
+counted AS (SELECT attr, count(*) AS n, {", ".join(f"count({READERS[k]}) AS n{i}" for i, k in enumerate(NARROW))} FROM known GROUP BY 1),
+found AS (SELECT *, CASE {" ".join(f"WHEN n{i} >= 0.9 * n THEN '{k}'" for i, k in enumerate(NARROW))} ELSE 'string' END AS discovered FROM counted)
+SELECT attr, declared AS attr_type, discovered, n, CASE declared {" ".join(f"WHEN '{k}' THEN n{i}" for i, k in enumerate(NARROW))} ELSE n END AS n_readable FROM fed JOIN found USING (attr)"""
+
 SIDES = f"""
 refs AS (
   SELECT row_id, 'head' AS side, {PLAIN_ID.format(c="head_entity_id")} AS id, loaded_at AS ts FROM relations
@@ -91,6 +97,7 @@ FROM relations r JOIN entities e ON {PLAIN_ID.format(c="r.tail_entity_id")} = {P
 SELECT a.relation_type AS first_kind, b.relation_type AS second_kind, count(*) AS paths
 FROM (SELECT relation_type, {PLAIN_ID.format(c="tail_entity_id")} AS m FROM relations) a JOIN (SELECT relation_type, {PLAIN_ID.format(c="head_entity_id")} AS m FROM relations) b USING (m) GROUP BY 1, 2""",
     "p2_discovered": P2_DISCOVERED,
+    "p2_schema": P2_SCHEMA,
     "p2_typed": f"""WITH wide AS ({P2_WIDE})
 SELECT entity_id, budget::bigint AS budget, country_name, gross::bigint AS gross, in_colour::boolean AS in_colour, release_date::date AS release_date, runtime_min::int AS runtime_min, score::decimal(3,1) AS score, spoken_language FROM wide""",
     "p7_found": f"WITH {SIDES} SELECT row_id, side FROM probed WHERE reason <> ''",
