@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from tesselkg.session import cut
 ALPHA, MOST_ROUNDS = 0.85, 100
 #: Rounds between two cuts of the lineage.
 CUT_EVERY = 5
+#: Edges that one task may finish a graph of, and edges a task buffers before it drops those that close cycles.
+MOST_IN_TASK, BUFFER = 1_000_000, 200_000
 #: Graphs of at most so many vertices are returned whole.
 SMALL_GRAPH = 50
 
@@ -111,6 +115,40 @@ def spanning_forests(edges: DataFrame) -> DataFrame:
     return edges.groupBy("grp").applyInPandas(_kruskal, edges.schema)
 
 
+def local_forests(edges: DataFrame) -> DataFrame:
+    """Of the edges (u, v, cost, ...) of one graph those that can be in its minimum spanning forest, as far as each task can tell.
+
+    An edge that closes a cycle of lesser ones within a task's edges is in no
+    forest. A task holds its forest and one buffer of edges.
+    """
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size > 2 * BUFFER:
+                held = [_kruskal(pd.concat(held, ignore_index=True))]
+                size = len(held[0])
+        if held:
+            yield _kruskal(pd.concat(held, ignore_index=True))
+
+    return edges.where("u != v").mapInPandas(keep, edges.schema)
+
+
+def minimum_forest(edges: DataFrame, most: int = MOST_IN_TASK) -> DataFrame:
+    """The minimum spanning forest of one graph of any size (u, v, cost, ...; pairs unique), by (cost, u, v).
+
+    First every task drops the edges that close cycles within its own. What is left
+    is finished in one task while it is within ``most`` edges, else in rounds of joins.
+    """
+    left = cut(local_forests(edges))
+    if left.count() <= most:
+        return left.groupBy(F.lit(1).alias("one")).applyInPandas(lambda g: _kruskal(g.drop(columns="one", errors="ignore")), edges.schema)
+    return left.join(boruvka(left).select("u", "v"), ["u", "v"], "left_semi").select(edges.columns)
+
+
 def boruvka(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest of one graph of any size (u, v, cost), by (cost, u, v), in rounds of joins.
 
@@ -140,9 +178,39 @@ def boruvka(edges: DataFrame) -> DataFrame:
     return base.select("u", "v", "cost").limit(0) if chosen is None else chosen
 
 
+def _pruned(tree: pd.DataFrame, keep: set[str]) -> pd.DataFrame:
+    """The tree without the leaves that are not kept, nor those that become leaves by that."""
+    near: dict[str, set[str]] = {}
+    for u, v in zip(tree["u"], tree["v"]):
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    loose = [x for x, n in near.items() if len(n) == 1 and x not in keep]
+    while loose:
+        x = loose.pop()
+        for y in near.pop(x):
+            near[y].discard(x)
+            if len(near[y]) == 1 and y not in keep:
+                loose.append(y)
+    return tree[[u in near and v in near[u] for u, v in zip(tree["u"], tree["v"])]]
+
+
 def steiner_subtrees(forest: DataFrame, important: DataFrame) -> DataFrame:
-    """The union of the paths between a group's important vertices (grp, node) in its forest: leaves that are not important fall off until none is left."""
+    """The union of the paths between a group's important vertices (grp, node) in its forest: leaves that are not important fall off until none is left.
+
+    One group, a query's small graph or one within the bound of a task, is one task.
+    """
+    def prune(tree: pd.DataFrame, keep: pd.DataFrame) -> pd.DataFrame:
+        return _pruned(tree, set(keep["node"]))
+
+    left = forest.select(*[F.col(c).alias(c) for c in forest.columns])  # columns of its own, though both may be of one origin
+    return left.groupBy("grp").cogroup(important.select("grp", "node").groupBy("grp")).applyInPandas(prune, forest.schema)
+
+
+def steiner_subtree(forest: DataFrame, important: DataFrame, most: int = MOST_IN_TASK) -> DataFrame:
+    """The same of one graph of any size: in one task while its forest is within ``most`` edges, else a round of joins per layer of leaves."""
     tree = cut(forest)
+    if tree.count() <= most:
+        return steiner_subtrees(tree, important)
     keep = cut(important.select("grp", "node").distinct())
     while True:
         ends = tree.select("grp", F.explode(F.array("u", "v")).alias("node"))

@@ -202,18 +202,18 @@ def _costed(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def mst_edges(spark, d):
-    return graph.spanning_forests(_costed(spark, d)[0]).select("u", "v", "relation_type", "cost")
+    return graph.minimum_forest(_costed(spark, d)[0]).select("u", "v", "relation_type", "cost")
 
 
 def mst_weight(spark, d):
     """Edges and total cost of the minimum spanning forest, against its vertices and components."""
     edges, _ = _costed(spark, d)
-    return graph.spanning_forests(edges).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("cost"), 4).alias("cost"))
+    return graph.minimum_forest(edges).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 def steiner_subtree(spark, d):
     edges, seeds = _costed(spark, d)
-    return graph.steiner_subtrees(graph.spanning_forests(edges), seeds).select("u", "v", "relation_type", "cost")
+    return graph.steiner_subtree(graph.minimum_forest(edges), seeds).select("u", "v", "relation_type", "cost")
 
 
 def _connected(spark, d, queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -325,15 +325,24 @@ ETOP = f"""told AS (SELECT entity_id, {kgq._description()} AS text FROM kge), ev
 etop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT q.query_id, t.entity_id AS id, coalesce(s.score, 0.0::double) AS score FROM (SELECT DISTINCT id AS query_id FROM qv) q CROSS JOIN (SELECT DISTINCT id AS entity_id FROM ev) t
   LEFT JOIN (SELECT qv.id AS query_id, ev.id AS entity_id, round(sum(qv.x * ev.x), 6) AS score FROM qv JOIN ev USING (bucket) GROUP BY 1, 2) s USING (query_id, entity_id))) WHERE rank <= {K})"""
-#: The weight of a minimum spanning forest from components: at each cost, the number of components that its edges join.
-FOREST = """und AS (SELECT least(head, tail) AS u, greatest(head, tail) AS v, arg_max(relation_type, (round, head, relation_id)) AS relation_type FROM bfs WHERE head <> tail GROUP BY 1, 2),
+#: The undirected graph around the stated set with its costs, and its edges in their total order.
+PRICED = """und AS (SELECT least(head, tail) AS u, greatest(head, tail) AS v, arg_max(relation_type, (round, head, relation_id)) AS relation_type FROM bfs WHERE head <> tail GROUP BY 1, 2),
 types AS (SELECT DISTINCT relation_type, {phrase} AS words FROM und), ask AS (SELECT 1 AS one, 'recommend a film by its director and genre' AS words),
 wt AS ({wt}), wa AS ({wa}), priced AS (SELECT t.relation_type, round(1 - coalesce(sum(wt.x * wa.x), 0.0::double), 6) AS cost FROM types t LEFT JOIN wt ON wt.id = t.relation_type LEFT JOIN wa USING (bucket) GROUP BY 1),
-e AS (SELECT u, v, cost FROM und JOIN priced USING (relation_type)), ends AS (SELECT u AS a, v AS b, cost FROM e UNION ALL SELECT v, u, cost FROM e), costs AS (SELECT DISTINCT cost AS c FROM e), nodes AS (SELECT DISTINCT a AS x FROM ends),
+e AS (SELECT u, v, relation_type, cost, row_number() OVER (ORDER BY cost, u, v) AS r FROM und JOIN priced USING (relation_type)), ends AS (SELECT u AS a, v AS b, cost, r FROM e UNION ALL SELECT v, u, cost, r FROM e)""".format(phrase=PHRASE.format(c="relation_type"), wt=BAG.format(id="relation_type", text="words", src="types"), wa=BAG.format(id="one", text="words", src="ask"))
+#: The weight of a minimum spanning forest from components: at each cost, the number of components that its edges join.
+WEIGHT = """costs AS (SELECT DISTINCT cost AS c FROM e), nodes AS (SELECT DISTINCT a AS x FROM ends),
 reach AS (SELECT c, x AS src, x AS node FROM costs, nodes UNION SELECT r.c, r.src, b.b FROM reach r JOIN ends b ON b.a = r.node AND b.cost <= r.c),
 comp AS (SELECT c, count(*) FILTER (src = least) AS k FROM (SELECT c, src, min(node) AS least FROM reach GROUP BY 1, 2) GROUP BY 1),
 won AS (SELECT c, lag(k, 1, (SELECT count(*) FROM nodes)) OVER (ORDER BY c) - k AS n FROM comp)
-SELECT sum(n)::bigint AS n_edges, round(sum(n * c), 4) AS cost FROM won""".format(phrase=PHRASE.format(c="relation_type"), wt=BAG.format(id="relation_type", text="words", src="types"), wa=BAG.format(id="one", text="words", src="ask"))
+SELECT sum(n)::bigint AS n_edges, round(sum(n * c), 4) AS cost FROM won"""
+#: An edge is in the forest where lesser edges do not connect its ends.
+TREE = """below AS (SELECT r, u AS node FROM e UNION SELECT x.r, b.b FROM below x JOIN ends b ON b.a = x.node AND b.r < x.r),
+tree AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM below x WHERE x.r = e.r AND x.node = e.v))"""
+#: An edge of the forest is between asked vertices where both of the parts it joins hold one.
+PATHS = """links AS (SELECT u AS a, v AS b, r FROM tree UNION ALL SELECT v, u, r FROM tree),
+part AS (SELECT r, side, node FROM (SELECT r, 'u' AS side, u AS node FROM tree UNION ALL SELECT r, 'v', v FROM tree) UNION SELECT p.r, p.side, l.b FROM part p JOIN links l ON l.a = p.node AND l.r <> p.r),
+held AS (SELECT r FROM part WHERE node IN (SELECT entity_id FROM seeds) GROUP BY r HAVING count(DISTINCT side) = 2)"""
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, labelled_topk, query_encoding, triple_topk, triple_retrieval, subgraph_retrieval, ppr_fixed_iters, mst_edges, mst_weight, steiner_subtree, connected_retrieval, direct_retrieval, expert_descriptors, entity_index_build, all_experts_union,
@@ -352,7 +361,9 @@ SQL = {
     "ppr_fixed_iters": _ppr_sql(),
     "direct_retrieval": _with(ASKED) + "SELECT query_id, '' AS knowledge, 1.0::double AS confidence FROM asked",
     "expert_descriptors": "SELECT * FROM (VALUES (1::int, 'direct'), (2::int, 'triple'), (3::int, 'subgraph'), (4::int, 'connected_graph')) AS v(expert_id, expert_name)",
-    "mst_weight": "WITH RECURSIVE " + ", ".join((KGR, SEEDS, BFS, FOREST)),
+    "mst_weight": "WITH RECURSIVE " + ", ".join((KGR, SEEDS, BFS, PRICED, WEIGHT)),
+    "mst_edges": "WITH RECURSIVE " + ", ".join((KGR, SEEDS, BFS, PRICED, TREE)) + " SELECT u, v, relation_type, cost FROM tree",
+    "steiner_subtree": "WITH RECURSIVE " + ", ".join((KGR, SEEDS, BFS, PRICED, TREE, PATHS)) + " SELECT u, v, relation_type, cost FROM tree WHERE r IN (SELECT r FROM held)",
     "all_experts_union": _with(KGE, KGR, NAMED, TRIPLES, ASKED, TTOP, ETOP, "means AS (SELECT query_id, 2 AS kind, round(avg(score), 6) AS c FROM ttop GROUP BY 1 UNION ALL SELECT query_id, 3, round(avg(score), 6) FROM etop GROUP BY 1)") + """SELECT a.query_id, coalesce(p.selected_retriever_id, 1) AS expert_id, (c IS NOT NULL)::bigint AS n_documents,
       CASE WHEN coalesce(p.selected_retriever_id, 1) = 1 THEN 1.0::double WHEN p.selected_retriever_id NOT IN (2, 3, 4) THEN 0.0::double ELSE c END AS confidence, CASE WHEN p.selected_retriever_id NOT IN (1, 2, 3, 4) THEN 'no expert ' || p.selected_retriever_id END AS error
       FROM asked a JOIN pipeline_result p ON p.result_id::varchar = a.query_id LEFT JOIN means m ON m.query_id = a.query_id AND m.kind = CASE p.selected_retriever_id WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 END""",

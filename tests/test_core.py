@@ -89,13 +89,26 @@ def test_spanning_forests(spark):
     assert {tuple(r) for r in graph.spanning_forests(df).select("u", "v", "cost").collect()} == _kruskal(edges)
     assert {tuple(r) for r in graph.boruvka(df).collect()} == _kruskal(edges)
     assert graph.boruvka(df.limit(0)).count() == 0
+    for most in (100, 0):  # in one task, in rounds of joins
+        got = graph.minimum_forest(df.withColumn("relation_type", F.lit("r")).repartition(3), most=most)
+        assert {tuple(r) for r in got.select("u", "v", "cost").collect()} == _kruskal(edges)
+    assert graph.minimum_forest(df.limit(0)).count() == 0
+
+
+def test_local_forests_over_buffers(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUFFER", 3)
+    edges = _random_graph(14, 40, 8)
+    df = spark.createDataFrame(edges, "grp string, u string, v string, cost double").coalesce(1)
+    assert {tuple(r) for r in graph.local_forests(df).select("u", "v", "cost").collect()} == _kruskal(edges)
 
 
 def test_steiner(spark):
     tree = [("g", "a", "b", 1.0), ("g", "b", "c", 1.0), ("g", "c", "d", 1.0), ("g", "b", "x", 1.0)]
     df = spark.createDataFrame(tree, "grp string, u string, v string, cost double")
-    got = graph.steiner_subtrees(df, spark.createDataFrame([("g", "a"), ("g", "c")], "grp string, node string"))
-    assert {(r["u"], r["v"]) for r in got.collect()} == {("a", "b"), ("b", "c")}
+    asked = spark.createDataFrame([("g", "a"), ("g", "c")], "grp string, node string")
+    for got in (graph.steiner_subtrees(df, asked), graph.steiner_subtree(df, asked), graph.steiner_subtree(df, asked, most=0)):
+        assert {(r["u"], r["v"]) for r in got.collect()} == {("a", "b"), ("b", "c")}
+    assert graph.steiner_subtrees(df, asked.limit(0)).count() == 0
 
 
 def test_pagerank(spark):
