@@ -28,22 +28,30 @@ from pyspark.sql import functions as F
 
 from tesselkg.session import cut
 
-#: Characters of scripts that write no blanks are words of their own.
-TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+|\d+")
+#: Words, numbers, and words with digits between their letters (written so to get past filters).
+TOKEN = re.compile(r"[^\W\d_]+(?:\d+[^\W\d_]+)*|\d+")
+#: Characters of scripts that write no blanks; they are words of their own.
+CHARACTERS = "\u3040-\u30ff\u3400-\u9fff"
+CHARACTER = re.compile(f"[{CHARACTERS}]")
+CHARACTER_TOKEN = re.compile(rf"[{CHARACTERS}]|[^\W\d_{CHARACTERS}]+(?:\d+[^\W\d_{CHARACTERS}]+)*|\d+")
+#: Words put together in a tag are taken apart.
+TAG = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 ENTITY = re.compile(r"&#?\w+;")
 #: Most counts that are broadcast (16 bytes each).
 HOT_COUNTS = 1_000_000
 #: Words a worker keeps the hashes of.
 MEMORY = 1_000_000
 #: Times from which a pair and a word count as repeated within a page, and the share of all pages up to which they are hardly anybody else's.
-PAIR_TIMES, WORD_TIMES, PAIR_BELOW, WORD_BELOW = 3, 4, 0.01, 0.06
+PAIR_TIMES, WORD_TIMES, PAIR_BELOW, WORD_BELOW = 3, 4, 0.003, 0.06
+#: Share of all pages that the counts of a pair are smoothed by: rarer pairs say little, in a corpus of any size.
+SMOOTHING = 3e-5
 #: The usual incoherence of a page, and the number of pairs (or words) it weighs as much as.
 USUAL, PRIOR_WEIGHT = 0.63, 8
 #: Share from which more repetition adds nothing: lyrics repeat as much as spam.
-FULL_SHARE = 0.25
-# Weights of incoherence, repeated pairs and repeated words, and the offset, as ``fit_rule`` gave them from the noted pages of one small sample (see the README).
-WEIGHTS = (4.35, 10.19, 39.91)
-OFFSET = -13.71
+FULL_SHARE = 0.5
+# Weights of incoherence, repeated pairs and repeated words, and the offset, as ``fit_rule`` gave them from the 5,249 noted pages of the sample sf0.1 (see the README).
+WEIGHTS = (5.35, 10.15, 29.75)
+OFFSET = -12.85
 #: Most labelled pages that a fit reads.
 MOST_LABELLED = 20_000
 
@@ -52,10 +60,12 @@ SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
+    """Hashes of words; numbers count by their length only."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > MEMORY:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest("0" * len(word) if word.isdecimal() else word)
         return value
 
 
@@ -72,7 +82,11 @@ def mixed(a: np.ndarray) -> np.ndarray:
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall((ENTITY.sub(" ", text) if "&" in text else text).lower())
+    if "&" in text:
+        text = ENTITY.sub(" ", text)
+    if "#" in text:
+        text = TAG.sub(" ", text)
+    return (TOKEN if text.isascii() or not CHARACTER.search(text) else CHARACTER_TOKEN).findall(text.lower())
 
 
 class Pages:
@@ -168,7 +182,8 @@ def measures(p: Pages, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarr
     language = np.ones(p.n)
     np.maximum.at(language, p.word_doc, word)
     own = language[p.pair_doc]
-    lost = np.log((a * b / own + 1) / (pair - 0.95))
+    smooth = max(0.5, SMOOTHING * counts.total)
+    lost = np.log((a * b / own + smooth) / (pair - 1 + smooth))
     incoherent = _mean(p.pair_doc, lost, p.pair_times * ((a > 1) & (b > 1)), p.n, USUAL)
     pairs = _mean(p.pair_doc, ((p.pair_times >= PAIR_TIMES) & (pair <= max(2, PAIR_BELOW * counts.total))).astype(float), p.pair_times, p.n, 0.0)
     words = _mean(p.word_doc, ((p.word_times >= WORD_TIMES) & (word <= max(2, WORD_BELOW * counts.total)) & ~p.word_titled).astype(float), p.word_times, p.n, 0.0)
@@ -191,7 +206,8 @@ def may_be_spam(p: Pages, counts: Counts) -> np.ndarray:
     pairs = _mean(p.pair_doc, ((p.pair_times >= PAIR_TIMES) & (pair_low <= max(2, PAIR_BELOW * counts.total))).astype(float), p.pair_times, p.n, 0.0)
     words = _mean(p.word_doc, ((p.word_times >= WORD_TIMES) & (word_low <= max(2, WORD_BELOW * counts.total)) & ~p.word_titled).astype(float), p.word_times, p.n, 0.0)
     needed = -(OFFSET + WEIGHTS[1] * np.minimum(pairs, FULL_SHARE) + WEIGHTS[2] * np.minimum(words, FULL_SHARE)) / WEIGHTS[0]
-    above = np.log((a_high * b_high / language[p.pair_doc] + 1) / (pair_low - 0.95)) - needed[p.pair_doc]
+    smooth = max(0.5, SMOOTHING * counts.total)
+    above = np.log((a_high * b_high / language[p.pair_doc] + smooth) / (pair_low - 1 + smooth)) - needed[p.pair_doc]
     certain, possible = (a_low > 1) & (b_low > 1), (a_high > 1) & (b_high > 1)
     gain = np.where(certain, above, np.where(possible, np.maximum(above, 0), 0)) * p.pair_times
     return np.bincount(p.pair_doc, gain, p.n) + PRIOR_WEIGHT * (USUAL - needed) >= -1e-9
