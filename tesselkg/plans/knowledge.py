@@ -100,11 +100,21 @@ def unseen_tails_anti(spark, d):
     return relations(spark, d).select("tail").distinct().join(entities(spark, d).select(F.col("entity_id").alias("tail")), "tail", "left_anti")
 
 
-def _named(spark, d):
-    e = entities(spark, d).select("entity_id", "entity_type", "name")
+#: Entities and relations that were made once and are read several times.
+Graph = tuple[DataFrame, DataFrame]
+
+
+def graph_of(spark, d, held: Graph | None = None) -> Graph:
+    """The graph that a query holds already, else that of the tables."""
+    return held or (entities(spark, d), relations(spark, d))
+
+
+def _named(spark, d, held: Graph | None = None):
+    known, edges = graph_of(spark, d, held)
+    e = known.select("entity_id", "entity_type", "name")
     head = e.select(F.col("entity_id").alias("head"), F.col("entity_type").alias("head_type"), F.col("name").alias("head_name"))
     tail = e.select(F.col("entity_id").alias("tail"), F.col("entity_type").alias("tail_type"), F.col("name").alias("tail_name"))
-    return relations(spark, d).join(head, "head").join(tail, "tail")
+    return edges.join(head, "head").join(tail, "tail")
 
 
 def triple_text_inner_join(spark, d):
@@ -122,8 +132,8 @@ def relation_natural_language(spark, d):
     return relations(spark, d).select("relation_type").distinct().select("relation_type", kg_text.relation_phrase(F.col("relation_type")).alias("phrase"))
 
 
-def entity_text(spark, d):
-    e = entities(spark, d).withColumn("a", F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")))
+def entity_text(spark, d, held: Graph | None = None):
+    e = graph_of(spark, d, held)[0].withColumn("a", F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")))
     return e.select("entity_id", kg_text.entity_description(F.col("entity_type"), F.col("name"), F.col("a")).alias("text"))
 
 

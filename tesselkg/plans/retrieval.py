@@ -51,17 +51,18 @@ def labelled_topk(spark, d):
 # --- the hashed encoder and triple search
 
 
-def triple_index(spark, d) -> DataFrame:
+def triple_index(spark, d, held: kgq.Graph | None = None) -> DataFrame:
     """(id, v): every triple between known entities, its sentence encoded."""
     text = kg_text.triple_sentence(F.col("head_name"), F.col("relation_type"), F.col("tail_name"))
-    return kgq._named(spark, d).select(F.col("relation_id").alias("id"), vector.hashed_words(text).alias("v")).where("v is not null")
+    return kgq._named(spark, d, held).select(F.col("relation_id").alias("id"), vector.hashed_words(text).alias("v")).where("v is not null")
 
 
-def _shown(spark, d, found: DataFrame) -> DataFrame:
+def _shown(spark, d, found: DataFrame, held: kgq.Graph | None = None) -> DataFrame:
     """``found`` with the plain form of its triples (id), which retrieval shows: only those are named, and nothing is encoded again."""
     ids = found.select("id").distinct()
-    few = kgq.relations(spark, d).join(ids.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi")
-    e = kgq.entities(spark, d).select("entity_id", "name")
+    known, edges = kgq.graph_of(spark, d, held)
+    few = edges.join(ids.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi")
+    e = known.select("entity_id", "name")
     few = few.join(e.select(F.col("entity_id").alias("head"), F.col("name").alias("hn")), "head").join(e.select(F.col("entity_id").alias("tail"), F.col("name").alias("tn")), "tail")
     return found.join(few.select(F.col("relation_id").alias("id"), kg_text.triple_plain(F.col("hn"), F.col("relation_type"), F.col("tn")).alias("shown")), "id")
 
@@ -72,8 +73,8 @@ def _asked(spark, d) -> DataFrame:
     return rows.select(F.col("result_id").cast("string").alias("query_id"), "user_query", vector.hashed_words(F.col("user_query")).alias("v"))
 
 
-def _nearest_triples(spark, d, queries: DataFrame) -> DataFrame:
-    return vector.nearest(queries, triple_index(spark, d).select("id", "v"), K)
+def _nearest_triples(spark, d, queries: DataFrame, held: kgq.Graph | None = None) -> DataFrame:
+    return vector.nearest(queries, triple_index(spark, d, held).select("id", "v"), K)
 
 
 def triple_topk(spark, d):
@@ -89,9 +90,9 @@ def _fixed(score: Column) -> Column:
     return F.format_string("%.3f", F.round(score, 3))
 
 
-def _triples(spark, d, queries: DataFrame) -> DataFrame:
+def _triples(spark, d, queries: DataFrame, held: kgq.Graph | None = None) -> DataFrame:
     """Expert 2 for each of ``queries`` (query_id, v): the retrieved triples as one text per query, and their mean score as confidence."""
-    rows = _shown(spark, d, cut(_nearest_triples(spark, d, queries))).withColumn("line", F.concat(F.lit("• "), F.col("shown"), F.lit(" (score: "), _fixed(F.col("score")), F.lit(")")))
+    rows = _shown(spark, d, cut(_nearest_triples(spark, d, queries, held)), held).withColumn("line", F.concat(F.lit("• "), F.col("shown"), F.lit(" (score: "), _fixed(F.col("score")), F.lit(")")))
     return rows.groupBy("query_id").agg(
         F.concat(F.lit("Retrieved factual triples:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")).alias("knowledge"),
         F.round(F.avg("score"), 6).alias("confidence"),
@@ -116,11 +117,12 @@ ttop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 # --- expert 3: entities and their two-hop subgraphs
 
 
-def _subgraphs(spark, d, queries: DataFrame, entities: DataFrame) -> DataFrame:
+def _subgraphs(spark, d, queries: DataFrame, entities: DataFrame, held: kgq.Graph | None = None) -> DataFrame:
     """Expert 3 for each of ``queries`` (query_id, v) over ``entities`` (id, v) as one text per query: seeds with score and sizes, totals of the merged subgraph, its first relations as sentences; the mean score of the seeds as confidence."""
-    hits = cut(vector.nearest(queries, entities, K).join(kgq.entities(spark, d).select(F.col("entity_id").alias("id"), "name", "entity_type"), "id"))
-    known = cut(kgq.entities(spark, d).select("entity_id", "name"))
-    edges = cut(kg.two_hop(hits.select(F.col("id").alias("centre")), kgq.relations(spark, d), kgq.MOST_NEIGHBOURS))
+    every, relations = kgq.graph_of(spark, d, held)
+    hits = cut(vector.nearest(queries, entities, K).join(every.select(F.col("entity_id").alias("id"), "name", "entity_type"), "id"))
+    known = cut(every.select("entity_id", "name"))
+    edges = cut(kg.two_hop(hits.select(F.col("id").alias("centre")), relations, kgq.MOST_NEIGHBOURS))
     sizes = hits.select(F.col("id").alias("centre")).distinct().join(kg.subgraph_sizes(edges, known), "centre", "left").select("centre", F.coalesce("n_entities", F.lit(1)).alias("ne"), F.coalesce("n_relations", F.lit(0)).alias("nr"))
     seeds = hits.join(sizes, F.col("id") == F.col("centre"))
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" ("), "entity_type", F.lit(") [score: "), _fixed(F.col("score")), F.lit(", subgraph: "), F.col("ne").cast("string"), F.lit(" entities, "), F.col("nr").cast("string"), F.lit(" relations]"))
@@ -216,7 +218,7 @@ def steiner_subtree(spark, d):
     return graph.steiner_subtree(graph.minimum_forest(edges), seeds).select("u", "v", "relation_type", "cost")
 
 
-def _connected(spark, d, queries: DataFrame, entities: DataFrame) -> DataFrame:
+def _connected(spark, d, queries: DataFrame, entities: DataFrame, held: kgq.Graph | None = None) -> DataFrame:
     """Expert 4 for each of ``queries`` (query_id, v): its seeds among ``entities`` (id, v), their breadth-first graph with the query's own costs, the evidence subgraph as text.
 
     The query is the group of every graph operator. Graphs that are shown whole
@@ -224,8 +226,9 @@ def _connected(spark, d, queries: DataFrame, entities: DataFrame) -> DataFrame:
     """
     queries = cut(queries.where("v is not null").select("query_id", "v"))
     hits = cut(vector.nearest(queries, entities, K))
-    known = cut(kgq.entities(spark, d).select("entity_id", "name", "entity_type"))
-    edges = cut(kg.undirected(kg.breadth_first(hits.select(F.col("query_id").alias("grp"), F.col("id").alias("entity_id")), kgq.relations(spark, d))))
+    every, relations = kgq.graph_of(spark, d, held)
+    known = cut(every.select("entity_id", "name", "entity_type"))
+    edges = cut(kg.undirected(kg.breadth_first(hits.select(F.col("query_id").alias("grp"), F.col("id").alias("entity_id")), relations)))
     # seeds are in the graph as entities or as ends of edges
     ends = edges.select("grp", F.explode(F.array("u", "v")).alias("node")).distinct()
     found = hits.select(F.col("query_id").alias("grp"), F.col("id").alias("node"))
@@ -280,9 +283,9 @@ def expert_descriptors(spark, d):
     return spark.createDataFrame(rows, "expert_id int, expert_name string")
 
 
-def entity_vectors(spark, d) -> DataFrame:
+def entity_vectors(spark, d, held: kgq.Graph | None = None) -> DataFrame:
     """(id, v): every entity, its description encoded like the stored queries; vectors of another model are not comparable."""
-    text = kgq.entity_text(spark, d)
+    text = kgq.entity_text(spark, d, held)
     return text.select(F.col("entity_id").alias("id"), vector.hashed_words(F.col("text")).alias("v")).where("v is not null")
 
 
@@ -312,9 +315,10 @@ def all_experts_union(spark, d):
     """
     routes = table(spark, d, "pipeline_result").select(F.col("result_id").cast("string").alias("query_id"), F.coalesce("selected_retriever_id", F.lit(1)).alias("expert_id"))
     asked = cut(_asked(spark, d).join(routes, "query_id").select("query_id", "expert_id", "v"))
-    entities = cut(entity_vectors(spark, d))
+    held = (cut(kgq.entities(spark, d)), cut(kgq.relations(spark, d)))  # made once for all experts
+    entities = cut(entity_vectors(spark, d, held))
     of = lambda expert: asked.where(F.col("expert_id") == expert).select("query_id", "v")
-    found = _triples(spark, d, of(2)).unionByName(_subgraphs(spark, d, of(3), entities)).unionByName(_connected(spark, d, of(4), entities))
+    found = _triples(spark, d, of(2), held).unionByName(_subgraphs(spark, d, of(3), entities, held)).unionByName(_connected(spark, d, of(4), entities, held))
     direct = direct_retrieval(spark, d).join(asked.where("expert_id = 1").select("query_id"), "query_id", "left_semi")
     rows = asked.select("query_id", "expert_id").join(found.unionByName(direct), "query_id", "left")
     error = F.when(~F.col("expert_id").isin(*EXPERTS), F.concat(F.lit("no expert "), F.col("expert_id").cast("string")))
