@@ -70,6 +70,18 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 WORD = re.compile(r"[^\W_]+")
 
 
+def _counts(text: str, bucket: dict[str, int]) -> np.ndarray:
+    """The words of each bucket; ``bucket`` keeps those of the words seen."""
+    v = np.zeros(DIMENSIONS)
+    for w in WORD.findall(text.lower()):
+        if w not in bucket:
+            if len(bucket) > 200_000:
+                bucket.clear()
+            bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS
+        v[bucket[w]] += 1
+    return v
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _bag(texts: pd.Series) -> pd.Series:
     bucket: dict[str, int] = {}
@@ -77,22 +89,36 @@ def _bag(texts: pd.Series) -> pd.Series:
     for t in texts:
         v = None
         if t is not None:
-            v = np.zeros(DIMENSIONS)
-            for w in WORD.findall(t.lower()):
-                if w not in bucket:
-                    if len(bucket) > 200_000:
-                        bucket.clear()
-                    bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS
-                v[bucket[w]] += 1
+            v = _counts(t, bucket)
             norm = math.sqrt(float(v @ v))
             v = v / norm if norm else None
         out.append(v)
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _alike(lists: pd.Series, texts: pd.Series) -> pd.Series:
+    bucket: dict[str, int] = {}
+    out = []
+    for several, text in zip(lists, texts):
+        if several is None:
+            out.append(None)
+            continue
+        x = np.array([_counts(t or "", bucket) for t in (text, *several)])
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = x / np.where(norm > 0, norm, 1.0)
+        out.append((x[1:] * x[0]).sum(axis=1))
+    return pd.Series(out)
+
+
 def hashed_words(text: Column) -> Column:
     """The default encoder: a bag of lower-case words, each counted in the bucket of its MD5, as a unit vector of 64 doubles; null without words.
 
     Any other encoder is a pandas UDF of the same shape.
     """
     return _bag(text)
+
+
+def likeness(texts: Column, text: Column) -> Column:
+    """The cosine of each of ``texts`` (an array) and ``text`` under the default encoder, 0 where either has no words, null without an array; no vector leaves the task that makes it."""
+    return _alike(texts, text)

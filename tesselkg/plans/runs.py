@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselkg.functions import prompts
@@ -165,10 +165,10 @@ def softmax_distribution(spark, d):
     return rows.select("result_id", "letter", F.round(F.col("e") / F.sum("e").over(per), 6).alias("p"))
 
 
-def _baselines(spark, d) -> DataFrame:
-    """(user_id, base_id): each user's newest run of expert 1, the baseline of their other runs."""
+def _baselines(spark, d, base_id: Column | str = "result_id") -> DataFrame:
+    """(user_id, base_id): each user's newest run of expert 1, the baseline of their other runs; or another value of that run."""
     first = runs(spark, d).where((F.coalesce("selected_retriever_id", F.lit(1)) == 1) & F.col("user_id").isNotNull())
-    return first.groupBy("user_id").agg(F.max_by("result_id", F.struct("created_at", "result_id")).alias("base_id"))
+    return first.groupBy("user_id").agg(F.max_by(base_id, F.struct("created_at", "result_id")).alias("base_id"))
 
 
 def kl_gain(spark, d):
